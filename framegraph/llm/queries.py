@@ -1,12 +1,15 @@
 """Queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontamination, exact_dedup
+from . import decontamination, exact_dedup, packing, substring_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_decontaminate": decontamination.op8_decontaminate,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op8_decontaminate": decontamination.OP8_SQL,
 }
