@@ -1,9 +1,10 @@
 """Queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontamination, exact_dedup, packing, substring_dedup
+from . import decontamination, exact_dedup, lm_scoring, packing, substring_dedup
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_decontaminate": decontamination.op8_decontaminate,
