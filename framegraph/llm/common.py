@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.cumsum(np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.array(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64))
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
