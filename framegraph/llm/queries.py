@@ -1,13 +1,15 @@
 """Queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontamination, exact_dedup, lm_scoring, packing, substring_dedup
+from . import decontamination, exact_dedup, lm_scoring, packing, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_lm_scoring": lm_scoring.op3_lm_scoring,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_decontaminate": decontamination.op8_decontaminate,
+    "op10_quality": quality.op10_quality,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.OP4_SQL,
