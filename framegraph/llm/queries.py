@@ -1,6 +1,6 @@
 """Queries of this subpackage and their DuckDB counterparts."""
 
-from . import decontamination, exact_dedup, lm_scoring, packing, quality, substring_dedup, toxicity
+from . import decontamination, exact_dedup, lm_scoring, near_dedup, packing, quality, substring_dedup, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op8_decontaminate": decontamination.op8_decontaminate,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {
