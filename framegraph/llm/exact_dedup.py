@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_and_text, materialize, table
 
@@ -210,7 +211,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
 
     digested = digests(docs)
     stay = groups(digested).select(F.col("digest").alias("_stay"), F.col("keep_id").alias("_keep"))
-    marked = docs.mapInArrow(add, docs.schema.add(mark, "binary"))
+    marked = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
     kept = marked.join(stay, (marked[mark] == stay["_stay"]) & marked["doc_id"].cast("long").eqNullSafe(stay["_keep"])).drop("_stay", "_keep")
     repeated = digested.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if not repeated.isEmpty():
