@@ -19,4 +19,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import audio_queries, color_queries, delivery_queries, graph_queries, observe_queries, text_queries, timing_queries  # noqa: E402, F401
+from . import audio_queries, color_queries, delivery_queries, graph_queries, observe_queries, stream_queries, text_queries, timing_queries  # noqa: E402, F401

@@ -213,7 +213,7 @@ def _pixels(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(k.alias("id"), (k % 256).alias("r"), (k * 3 % 256).alias("g"), (k * 11 % 256).alias("b"))
 
 
-@query("sc_luma601", f"WITH {PX} SELECT id, round(0.299 * r + 0.587 * g + 0.114 * b, 3) AS luma FROM px")
+@query("sc_luma601", f"WITH {PX} SELECT id, round(CAST(0.299 * r + 0.587 * g + 0.114 * b AS DOUBLE), 3) AS luma FROM px")
 def sc_luma601(spark, sf):
     return _pixels(spark, sf).select("id", F.round(c.luma601(F.col("r"), F.col("g"), F.col("b")), 3).alias("luma"))
 
@@ -229,7 +229,7 @@ def sc_double(spark, sf):
     return _pixels(spark, sf).select("id", (F.col("id") * 3_000_000 * 2 % 4_294_967_296).alias("y"))
 
 
-@query("sc_hdr_scale", f"WITH {PX} SELECT id, round(r * 100 / 50000.0, 8) AS x, round(g * 1000 * 0.0001, 8) AS nits, coalesce(CASE WHEN b > 100 THEN b END, 0) AS max_cll FROM px")
+@query("sc_hdr_scale", f"WITH {PX} SELECT id, round(r * 100 / 50000.0, 8) AS x, round(CAST(g * 1000 * 0.0001 AS DOUBLE), 8) AS nits, coalesce(CASE WHEN b > 100 THEN b END, 0) AS max_cll FROM px")
 def sc_hdr_scale(spark, sf):
     return _pixels(spark, sf).select("id", F.round(F.col("r") * 100 / 50_000.0, 8).alias("x"), F.round(F.col("g") * 1000 * 0.0001, 8).alias("nits"), F.coalesce(F.when(F.col("b") > 100, F.col("b")), F.lit(0)).alias("max_cll"))
 

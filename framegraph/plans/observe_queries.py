@@ -22,7 +22,7 @@ def agg_bottlenecks(spark, sf):
     return o.bottlenecks(metrics(spark, sf))
 
 
-@query("agg_proc_snapshot", WM + "SELECT processor_id, frames_processed, frames_dropped, 0.0 AS latency_p90_ms, 0.0 AS latency_max_ms FROM m WHERE processor_id = 7")
+@query("agg_proc_snapshot", WM + "SELECT processor_id, frames_processed, frames_dropped, 0.0::DOUBLE AS latency_p90_ms, 0.0::DOUBLE AS latency_max_ms FROM m WHERE processor_id = 7")
 def agg_proc_snapshot(spark, sf):
     return o.processor_snapshot(metrics(spark, sf), 7).select("processor_id", "frames_processed", "frames_dropped", "latency_p90_ms", "latency_max_ms")
 
