@@ -72,7 +72,9 @@ def _sketch(width: int, size: int):
 
 def _cuts(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(value, from, to) of each run of equal values in a sorted array."""
-    at = np.flatnonzero(np.diff(part, prepend=-1)).tolist() if len(part) else []
+    if not len(part):
+        return []
+    at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     return [(int(part[s]), s, e) for s, e in zip(at, [*at[1:], len(part)], strict=True)]
 
 
