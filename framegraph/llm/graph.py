@@ -13,20 +13,31 @@ def _state(edges: DataFrame) -> tuple:
     return r["n"], r["s"]
 
 
+#: Tasks that the edges of one vertex are spread over.
+SALT = 8
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (a, b) with m, the least neighbour of a (least: a, m); a vertex with very many edges is spread out."""
+    spread = least.select(F.col("a").alias("_a"), "m", F.explode(F.array(*(F.lit(k) for k in range(SALT)))).alias("_s"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALT))
+    return edges.join(spread, (F.col("a") == F.col("_a")) & (salt == F.col("_s"))).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, component) for every vertex of edges (a, b); the component is its smallest vertex.
 
     Alternates large-star and small-star steps until edges are stars around the smallest vertices: each step is a
-    map-side combined minimum per vertex and a join, so a vertex with very many neighbours costs a skewed join at most.
+    map-side combined minimum per vertex and a salted join.
     """
     edges = materialize(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, _state(edges)
     while before != now:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("_a"), F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("_a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = _with_least(both.where(F.col("b") > F.col("a")), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small.select(F.col("a").alias("_a"), "m"), F.col("a") == F.col("_a"))
+        hung = _with_least(large, small)
         moved = hung.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(moved.unionByName(small.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, _state(edges)

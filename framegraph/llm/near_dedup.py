@@ -146,11 +146,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     rows = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, bands array<long>"))
     worded = signed.where("n > 0")
-    classes = worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the joins below are dealt anew and a hot key can be split
+    classes = materialize(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     members = worded.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep")
     reps = worded.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
     cells = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
-    buckets = cells.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(cells.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
     candidates = materialize(cells.join(buckets, "key"))
     stars = candidates.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = candidates.select(F.col("rep").alias("doc_id")).distinct()
@@ -166,7 +167,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     lead_of = found.select(F.col("v").alias("lead"), F.col("component").alias("lead_component"))
     labelled = labelled.join(lead_of, "lead", "left").withColumn("outside", F.col("component") != F.coalesce("lead_component", "lead"))
     labelled = materialize(labelled.select("key", "rep", "lead", "component", "outside"))
-    open_ = labelled.groupBy("key").agg(F.count_if("outside").alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0")
+    open_ = materialize(labelled.groupBy("key").agg(F.count_if("outside").alias("n_out"), F.count("*").alias("n_all")).where("n_out > 0"))
     chunk = lambda n: F.pmod(F.xxhash64("rep"), F.ceil(F.col(n) / TILE).cast("long"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / TILE).cast("int") - 1))
     dealt = labelled.join(open_, "key")

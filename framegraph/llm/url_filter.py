@@ -58,8 +58,9 @@ def templates(shapes: DataFrame) -> DataFrame:
         node = ["host", "at"]
         counts = materialize(tree.groupBy(*node, "seg", "next").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))))
         branch = counts.groupBy(*node, "seg").agg(*(F.sum(c).alias("b_" + c) for c in ("n", "labelled", "blocked")))
-        pool = branch.groupBy(*node).agg(*(F.sum("b_" + c).alias("p_" + c) for c in ("n", "labelled", "blocked")), F.count("*").alias("children"))
-        ahead = counts.groupBy(*node, "next").agg(F.sum("n").alias("p_next"))
+        # written, so that joins with them deal both sides anew and a node with very many children can be split
+        pool = materialize(branch.groupBy(*node).agg(*(F.sum("b_" + c).alias("p_" + c) for c in ("n", "labelled", "blocked")), F.count("*").alias("children")))
+        ahead = materialize(counts.groupBy(*node, "next").agg(F.sum("n").alias("p_next")))
         # distance of a branch's next segments from the node's: half the sum of differences, those it lacks included
         each = counts.join(branch.select(*node, "seg", "b_n"), [*node, "seg"]).join(ahead, [*node, "next"]).join(pool.select(*node, "p_n"), node)
         own, all_ = F.col("n") / F.col("b_n"), F.col("p_next") / F.col("p_n")
