@@ -106,6 +106,11 @@ def every_interval(frames: DataFrame, interval_ns: int) -> DataFrame:
     return frames.repartition("channel").sortWithinPartitions("channel", "timestamp_ns", "seq").mapInArrow(fold, frames.schema)
 
 
+def drop_busy(frames: DataFrame, service_ns: int) -> DataFrame:
+    """Frames that find the one worker of their channel idle; each taken keeps it busy for the service time."""
+    return every_interval(frames, service_ns)
+
+
 def keep_last(frames: DataFrame, k: int = 8) -> DataFrame:
     w = Window.partitionBy("channel").orderBy(F.desc("seq"))
     return frames.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

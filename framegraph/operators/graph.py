@@ -74,6 +74,10 @@ class Steps:
         """The zero-based n-th in traversal order, or nothing: a top-(n + 1), not a sort of all."""
         return self.rows.orderBy("ord", "id").offset(n).limit(1)
 
+    def iter(self):
+        """Rows one partition at a time."""
+        return self.rows.toLocalIterator()
+
     def count(self) -> DataFrame:
         return self.rows.agg(F.count("*").alias("n"))
 

@@ -132,14 +132,24 @@ def win_every_n(spark, sf):
     return d.every_nth(frames(spark, sf)).select("channel", "seq")
 
 
-@query("win_every_duration", "WITH RECURSIVE " + FR + """, o AS (SELECT channel, seq, timestamp_ns, row_number() OVER (PARTITION BY channel ORDER BY timestamp_ns, seq) AS r FROM f),
+def spaced(ns: int) -> str:
+    """Frames of each channel at least so far after the last one taken."""
+    return "WITH RECURSIVE " + FR + f""", o AS (SELECT channel, seq, timestamp_ns, row_number() OVER (PARTITION BY channel ORDER BY timestamp_ns, seq) AS r FROM f),
 k AS (SELECT channel, seq, timestamp_ns FROM o WHERE r = 1
-      UNION ALL SELECT n.channel, n.seq, n.timestamp_ns FROM (SELECT o.channel, o.seq, o.timestamp_ns, row_number() OVER (PARTITION BY o.channel ORDER BY o.timestamp_ns, o.seq) AS q FROM k JOIN o ON o.channel = k.channel AND o.timestamp_ns >= k.timestamp_ns + 86400000000000) n WHERE q = 1)
-SELECT channel, seq FROM k""")
+      UNION ALL SELECT n.channel, n.seq, n.timestamp_ns FROM (SELECT o.channel, o.seq, o.timestamp_ns, row_number() OVER (PARTITION BY o.channel ORDER BY o.timestamp_ns, o.seq) AS q FROM k JOIN o ON o.channel = k.channel AND o.timestamp_ns >= k.timestamp_ns + {ns}) n WHERE q = 1)
+SELECT channel, seq FROM k"""
+
+
+@query("win_every_duration", spaced(86_400_000_000_000))
 def win_every_duration(spark, sf):
     return d.every_interval(frames(spark, sf).select("channel", "seq", "timestamp_ns"), 86_400_000_000_000).select("channel", "seq")
 
 
+@query("st_sample_drop_busy", spaced(36_000_000_000_000))
+def st_sample_drop_busy(spark, sf):
+    return d.drop_busy(frames(spark, sf).select("channel", "seq", "timestamp_ns"), 36_000_000_000_000).select("channel", "seq")
+
+
 @query("win_keep_last_k", W + ", r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY seq DESC) AS r FROM f) SELECT channel, seq FROM r WHERE r <= 8")
 def win_keep_last_k(spark, sf):
     return d.keep_last(frames(spark, sf)).select("channel", "seq")

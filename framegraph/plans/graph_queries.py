@@ -68,6 +68,12 @@ def flt_exists(spark, sf):
     return graph(spark, sf).v().filter(F.col("type") == "Supplier").exists()
 
 
+@query("prj_iter", PL + "SELECT id FROM p WHERE type = 'Region'")
+def prj_iter(spark, sf):
+    regions = graph(spark, sf).v().filter(F.col("type") == "Region")  # five rows
+    return spark.createDataFrame([(r["id"],) for r in regions.iter()], "id string")
+
+
 @query("prj_inspect", PL + "SELECT id FROM p")
 def prj_inspect(spark, sf):
     return graph(spark, sf).v().inspect("seen").ids()

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.scratch import scratch
-from ..sources.tables import A, FR, with_
+from ..sources.tables import FR, LG, logs, with_
 from ..streaming import links as st
 from .audio_queries import FLAT, _summary, summary
 from .catalog import query
@@ -64,3 +65,103 @@ def st_rechunk(spark, sf):
 def st_every_sample_stream(spark, sf):
     """What is dropped depends on what a micro-batch brings; the counts always add up to the frames."""
     return finish(st.every_sample(_frames(spark, sf).select("channel", "seq", "timestamp_ns", "payload")))
+
+
+def _folder(spark) -> str:
+    return f"{scratch(spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
+LOGGED = with_(FR, LG) + "SELECT source_seq, level, message FROM g"
+
+
+@query("snk_jsonl", LOGGED)
+def snk_jsonl(spark, sf):
+    """Records written as JSON lines and read back."""
+    to = _folder(spark)
+    files.write_logs(logs(spark, sf).drop("attrs"), to)
+    return files.read_logs(spark, to, "*.json")[0].select("source_seq", "level", "message")
+
+
+@query("src_log_follow", LOGGED)
+def src_log_follow(spark, sf):
+    """Two runs' files, the second written after the first was read."""
+    to, out = _folder(spark), _folder(spark)
+    rows = logs(spark, sf).drop("attrs")
+    for k in (0, 1):
+        files.write_logs(rows.where(F.col("source_seq") % 2 == k), to)
+        follow = files.follow_logs(spark, to, "*.json").select("source_seq", "level", "message")
+        follow.writeStream.format("parquet").option("path", out + "/out").option("checkpointLocation", out + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out + "/out")
+
+
+#: Three frames of 2 x 2 pixels of four bytes, and a rest.
+RAW = "".join(c * 16 for c in "abc") + "rest"
+
+
+@query("src_bgra_file", "SELECT i AS index, repeat(chr(97 + i::INT), 16) AS pixels FROM range(3) t(i)")
+def src_bgra_file(spark, sf):
+    to = _folder(spark)
+    spark.createDataFrame([(RAW,)], "value string").coalesce(1).write.text(to)
+    return files.raw_frames(spark, to, 2, 2).select("index", F.col("pixels").cast("string").alias("pixels"))
+
+
+@query("src_jpeg_file", f"SELECT i AS seq, i * 33333333 AS timestamp_ns, {len(RAW) + 1} AS n FROM range(5) t(i)")
+def src_jpeg_file(spark, sf):
+    to = _folder(spark)
+    spark.createDataFrame([(RAW,)], "value string").coalesce(1).write.text(to)
+    return files.repeat_file(spark, to, 5, 30.0).select("seq", "timestamp_ns", F.octet_length("payload").alias("n"))
+
+
+@query("src_test_feeder", "SELECT 'cat' AS label, 0.5::DOUBLE AS score UNION ALL SELECT 'dog', NULL")
+def src_test_feeder(spark, sf):
+    return spark.createDataFrame([("cat", 0.5), ("dog", None)], "label string, score double")
+
+
+@query("snk_test_collector", with_(FR) + "SELECT channel, count(*) AS n FROM f GROUP BY channel")
+def snk_test_collector(spark, sf):
+    """A stream gathered in the memory sink, for results of a test's size."""
+    name = "collected_" + uuid.uuid4().hex
+    counted = _frames(spark, sf).groupBy("channel").agg(F.count("*").alias("n"))
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+def _run(stream: DataFrame, execution: str, interval_ms: int = 0) -> DataFrame:
+    path = _folder(stream.sparkSession)
+    writer = stream.writeStream.format("parquet").option("path", path + "/out").option("checkpointLocation", path + "/state")
+    q = st.trigger(writer, execution, interval_ms).start()
+    if execution == "manual":
+        q.awaitTermination()
+    else:
+        q.processAllAvailable()
+        q.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path + "/out")
+
+
+@query("st_continuous", with_(FR) + "SELECT channel, seq FROM f WHERE channel = 'view'")
+def st_continuous(spark, sf):
+    return _run(_frames(spark, sf).where("channel = 'view'").select("channel", "seq"), "continuous", 33)
+
+
+@query("st_manual", with_(FR) + "SELECT channel, seq FROM f WHERE channel = 'click'")
+def st_manual(spark, sf):
+    return _run(_frames(spark, sf).where("channel = 'click'").select("channel", "seq"), "manual")
+
+
+@query("st_readiness", "SELECT 'Running' AS started, 'Stopped' AS stopped")
+def st_readiness(spark, sf):
+    """States of a query before and after it is stopped."""
+    q = _frames(spark, sf).writeStream.format("noop").option("checkpointLocation", _folder(spark)).start()
+    st.wait_all([q], 30)
+    started = st.state_of(q)
+    q.stop()
+    return spark.createDataFrame([(started, st.state_of(q))], "started string, stopped string")
+
+
+@query("st_shutdown", "SELECT false AS active, true AS stopped_again")
+def st_shutdown(spark, sf):
+    """Stopping is latched: a second request changes nothing."""
+    q = _frames(spark, sf).writeStream.format("noop").option("checkpointLocation", _folder(spark)).start()
+    q.stop()
+    q.stop()
+    return spark.createDataFrame([(q.isActive, q.awaitTermination(5))], "active boolean, stopped_again boolean")

@@ -34,14 +34,14 @@ def decode(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where(good).select("r.*").drop("_bad"), d.where(~F.coalesce(good, F.lit(False))).select("value")
 
 
-def read_logs(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def read_logs(spark: SparkSession, directory: str, names: str = "*-*.jsonl") -> tuple[DataFrame, DataFrame]:
     """Records and rejects of all `<runtime>-<millis>.jsonl` files of a directory."""
-    return decode(spark.read.option("pathGlobFilter", "*-*.jsonl").text(directory))
+    return decode(spark.read.option("pathGlobFilter", names).text(directory))
 
 
-def follow_logs(spark: SparkSession, directory: str) -> DataFrame:
+def follow_logs(spark: SparkSession, directory: str, names: str = "*-*.jsonl") -> DataFrame:
     """Records as files grow in number: the stream picks up a restarted runtime's new file by itself."""
-    lines = spark.readStream.option("pathGlobFilter", "*-*.jsonl").text(directory)
+    lines = spark.readStream.option("pathGlobFilter", names).text(directory)
     return decode(lines)[0]
 
 
