@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import numbered, running_last, running_max
+
 HEADER = 76
 CEILING = 64 << 20
 DEPTH = {"latest": 4, "every_sample": 16, "lossless": 16}
@@ -68,19 +70,21 @@ def admission(frames: DataFrame, ceiling: int = CEILING, first_capacity: int = 1
 
     frames' len includes the header.
     """
-    w = Window.partitionBy("channel").orderBy("seq")
     fits = F.col("len") <= ceiling
-    grown = F.max(F.when(fits, F.col("len"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    capacity = F.least(F.greatest(F.lit(first_capacity).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(grown, F.lit(1))))).cast("long")), F.lit(ceiling).cast("long"))
-    rows = frames.withColumn("admitted", fits).withColumn("capacity", F.coalesce(capacity, F.lit(first_capacity).cast("long")))
-    beyond = F.col("capacity") > ceiling // 4
-    return rows.withColumn("crossed", beyond & ~F.coalesce(F.lag(beyond).over(w), F.lit(False)))
+    rows = running_max(frames.withColumn("admitted", fits), "channel", F.when(fits, F.col("len")), out="_top")
+    rows = running_max(rows, "channel", F.when(fits, F.col("len")), out="_before", inclusive=False)
+
+    def capacity(most):
+        grown = F.greatest(F.lit(first_capacity).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(most, F.lit(1))))).cast("long"))
+        return F.coalesce(F.least(grown, F.lit(ceiling).cast("long")), F.lit(first_capacity).cast("long"))
+
+    beyond = lambda most: capacity(F.col(most)) > ceiling // 4
+    return rows.withColumn("capacity", capacity(F.col("_top"))).withColumn("crossed", beyond("_top") & ~beyond("_before")).drop("_top", "_before")
 
 
 def every_nth(frames: DataFrame, n: int = 30) -> DataFrame:
     """Frames whose running number in the channel is divisible by n."""
-    w = Window.partitionBy("channel").orderBy("seq")
-    return frames.withColumn("_r", F.row_number().over(w)).where(F.col("_r") % n == 0).drop("_r")
+    return numbered(frames, "channel", out="_r").where((F.col("_r") + 1) % n == 0).drop("_r")
 
 
 def every_interval(frames: DataFrame, interval_ns: int) -> DataFrame:
@@ -125,14 +129,12 @@ def evict(files: DataFrame, max_files: int, max_bytes: int, key: str = "dir") ->
 
 def frame_index(frames: DataFrame) -> DataFrame:
     """frame_index: the running number of a frame in its channel from 0, as text."""
-    w = Window.partitionBy("channel").orderBy("seq")
-    return frames.withColumn("frame_index", (F.row_number().over(w) - 1).cast("string"))
+    return numbered(frames, "channel", out="frame_index").withColumn("frame_index", F.col("frame_index").cast("string"))
 
 
 def hold_last(frames: DataFrame, column: str) -> DataFrame:
     """held: the last value that was there, up to and including the row's own."""
-    w = Window.partitionBy("channel").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn("held", F.last(column, ignorenulls=True).over(w))
+    return running_last(frames, "channel", column, out="held")
 
 
 def outside_pauses(frames: DataFrame, pauses: DataFrame) -> DataFrame:

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import numbered
+
 
 def zip_streams(left: DataFrame, right: DataFrame, key: str | None = None) -> DataFrame:
     """The k-th frame of one side with the k-th of the other, as (l, r, timestamp_ns); ends with the shorter side.
 
     Each side needs timestamp_ns and seq; with a key, streams are zipped per key.
     """
-    keys = [key] if key else []
-
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("seq") if keys else Window.orderBy("seq")
-        return df.select(*keys, F.row_number().over(w).alias("n"), F.struct(*df.columns).alias(name))
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df if key else df.withColumn("_one", F.lit(1))
+        at = key or "_one"
+        return numbered(rows, at).select(F.col(at).alias("key"), "n", F.struct(*df.columns).alias(name))
 
-    both = numbered(left, "l").join(numbered(right, "r"), [*keys, "n"])
+    both = side(left, "l").join(side(right, "r"), ["key", "n"])
     return both.withColumn("timestamp_ns", F.greatest("l.timestamp_ns", "r.timestamp_ns"))
 
 

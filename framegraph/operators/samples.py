@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .running import running_sum
+
 
 def rechunk(frames: DataFrame, size: int, keep_tail: bool = False) -> DataFrame:
     """Chunks of `size` samples of each stream: stream, chunk, timestamp_ns, samples.
 
     A chunk's timestamp is that of the frame that completed it. The incomplete rest is dropped, or kept with the last
-    frame's timestamp. A window over frames (not samples) gives each frame its first sample's number.
+    frame's timestamp. A running sum over frames (not samples) gives each frame its first sample's number.
     """
-    w = Window.partitionBy("stream").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = frames.withColumn("_at", F.coalesce(F.sum(F.size("samples").cast("long")).over(w), F.lit(0).cast("long"))).where(F.size("samples") > 0)
+    numbered = running_sum(frames, "stream", F.size("samples").cast("long"), out="_at", inclusive=False).where(F.size("samples") > 0)
     first, last = F.col("_at"), F.col("_at") + F.size("samples") - 1
     chunks = numbered.select("stream", "seq", "timestamp_ns", "samples", "_at", F.explode(F.sequence(F.floor(first / size), F.floor(last / size))).alias("chunk"))
     from_ = F.greatest(F.col("chunk") * size - F.col("_at"), F.lit(0))

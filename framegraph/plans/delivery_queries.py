@@ -215,7 +215,7 @@ def set_fanout(spark, sf):
 SELECT l.seq AS l_seq, r.seq AS r_seq, greatest(l.timestamp_ns, r.timestamp_ns) AS timestamp_ns FROM l JOIN r USING (n)""")
 def jn_zip(spark, sf):
     f = frames(spark, sf).select("channel", "seq", "timestamp_ns")
-    both = j.zip_streams(f.where("channel = 'view'").withColumn("k", F.lit(1)), f.where("channel = 'click'").withColumn("k", F.lit(1)), "k")
+    both = j.zip_streams(f.where("channel = 'view'"), f.where("channel = 'click'"))
     return both.select(F.col("l.seq").alias("l_seq"), F.col("r.seq").alias("r_seq"), "timestamp_ns")
 
 

@@ -185,3 +185,23 @@ def test_pipelines(spark):
         p.run()
     with pytest.raises(ValueError):
         execution_of({}, None)
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_running_values_do_not_depend_on_buckets(spark, width):
+    from framegraph.operators import running as r
+
+    data = [("a", k, v) for k, v in enumerate([5, None, 2, 9, None, None, 1, 9])] + [("b", 4, None), ("b", 9, 3), (None, 2, 7)]
+    df = spark.createDataFrame(data, "key string, seq long, v long")
+    out = r.numbered(df, "key", width=width)
+    out = r.running_sum(out, "key", F.col("v"), width=width)
+    out = r.running_max(out, "key", F.col("v"), out="before", inclusive=False, width=width)
+    out = r.running_last(out, "key", "v", width=width)
+    got = {(x["key"], x["seq"]): (x["n"], x["sum"], x["before"], x["last"]) for x in out.collect()}
+    for key in ("a", "b", None):
+        seen = []
+        for n, (_, seq, v) in enumerate(x for x in data if x[0] == key):
+            there = [x for x in seen if x is not None]
+            now = there + [v] * (v is not None)
+            assert got[key, seq] == (n, sum(now), max(there, default=None), now[-1] if now else None)
+            seen.append(v)
