@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir; a folder of this machine only where that is unset (local runs)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="framegraph-")
+        own = tempfile.mkdtemp(prefix="framegraph-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -56,8 +59,25 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+#: Rows of texts that go to Python at a time, at most, and rows of keys that a join may broadcast (under 200 bytes each).
+BATCH_ROWS, BROADCAST_ROWS = 1000, 500_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sessions of this subpackage hand texts to Python in batches of BATCH_ROWS at most: memory follows their length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """keys, marked for broadcast where they are counted to be at most BROADCAST_ROWS; else left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone (null text: empty), so that further columns of any name cannot clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -66,7 +86,7 @@ def in_fold(doc_id, modulus: int, remainder: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most `most` bytes of text (one longer text makes a slice of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -79,6 +99,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             start, base = stop, int(ends[stop - 1])
 
 
+def pooled(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text, small batches put together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in slices(batches, column, most):
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 WHITE = np.ones(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of text whose A-Z are lower-cased.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, id_and_text, runs, slices, table
+from .common import ALNUM, Words, id_and_text, if_small, materialize, slices, table
 
 SIZE = 10
 #: Windows in a block, at most about 160 bytes each when broadcast.
@@ -165,8 +165,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
     """docs, all columns, without documents of which more than `share` of the words is hit."""
     hit = contamination(docs, benchmark).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])"))
-    bad = hit.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(share) * F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = materialize(hit.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(share) * F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(if_small(bad), docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

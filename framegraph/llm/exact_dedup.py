@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, materialize, table
+from .common import id_and_text, if_small, materialize, table
 
 _UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct digests that a map task holds before it hands them on.
@@ -210,13 +210,17 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([*batch.columns, found], names=[*columns, mark])
 
     digested = digests(docs)
-    stay = groups(digested).select(F.col("digest").alias("_stay"), F.col("keep_id").alias("_keep"))
+    stay = materialize(groups(digested))
     marked = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
-    kept = marked.join(stay, (marked[mark] == stay["_stay"]) & marked["doc_id"].cast("long").eqNullSafe(stay["_keep"])).drop("_stay", "_keep")
+    same_id = lambda other: marked["doc_id"].cast("long").eqNullSafe(other)
     repeated = digested.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([mark, "doc_id"])
-    return kept.drop(mark)
+    if repeated.isEmpty():  # (digest, doc_id) tells rows apart: those that go are fewer than those that stay
+        gone = digested.join(stay, "digest").where("row != keep_row").select(F.col("digest").alias("_gone"), F.col("doc_id").alias("_id"))
+        gone = if_small(materialize(gone))
+        return marked.join(gone, (marked[mark] == gone["_gone"]) & same_id(gone["_id"]), "left_anti").drop(mark)
+    stay = stay.select(F.col("digest").alias("_stay"), F.col("keep_id").alias("_keep"))
+    kept = marked.join(stay, (marked[mark] == stay["_stay"]) & same_id(stay["_keep"]), "left_semi")
+    return kept.dropDuplicates([mark, "doc_id"]).drop(mark)
 
 
 def apply_changes(changes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, id_and_text, materialize, mix, runs, slices, table
+from .common import ALNUM, Words, id_and_text, if_small, materialize, mix, runs, slices, table
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -154,8 +154,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     buckets = materialize(cells.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
     candidates = materialize(cells.join(buckets, "key"))
     stars = candidates.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = candidates.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    wanted = materialize(candidates.select(F.col("rep").alias("doc_id")).distinct())
+    sets = materialize(rows.join(if_small(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
     x = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     with_b = stars.join(x, "b")
     with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
@@ -185,7 +185,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document (the smallest doc_id) of each class of near duplicates."""
     classes = materialize(near_classes(docs))
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    kept = docs.join(if_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
     if classes.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Words, id_and_text, materialize, mix, slices, table
+from .common import LETTERS, Words, id_and_text, materialize, mix, slices, small_batches, table
 
 #: Labelled rows to learn from, at most: those with the smallest hashes of their doc_id.
 SAMPLE = 12_000
@@ -67,13 +67,14 @@ class Model:
 
     def __init__(self, ids: np.ndarray, weights: np.ndarray, theta: np.ndarray, cut: float):
         self.ids, self.weights, self.theta, self.cut = ids, weights, theta, cut
-        self.dense = np.zeros(1 << BITS, np.float32)
-        self.dense[ids] = weights
 
     def at_least(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) for k = 1.., one row per text."""
         f = Features(texts)
-        x = np.bincount(f.owner, weights=self.dense[f.ids], minlength=len(f.words))
+        at = np.searchsorted(self.ids, f.ids)
+        at[at == len(self.ids)] = 0
+        hit = np.flatnonzero(self.ids[at] == f.ids) if len(self.ids) else np.zeros(0, int)
+        x = np.bincount(f.owner[hit], weights=self.weights[at[hit]], minlength=len(f.words))
         return 1 / (1 + np.exp(np.clip(self.theta - x[:, None], -50, 50)))
 
 
@@ -121,12 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gathered = _labelled(docs, labels, sample).mapInArrow(gather, "doc_id long, y int, words long, ids binary, times binary")
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
-            both = np.zeros((2, 1 << BITS), np.int32)
             for y, ids in zip(batch.column("y").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 both[int(y > 0)][np.frombuffer(ids, np.int32)] += 1
-            met = np.flatnonzero(both.sum(0))
-            yield pa.record_batch([pa.array(met), pa.array(both[0][met].astype(np.int64)), pa.array(both[1][met].astype(np.int64))], names=["id", "clean", "toxic"])
+        met = np.flatnonzero(both.sum(0))
+        yield pa.record_batch([pa.array(met), pa.array(both[0][met].astype(np.int64)), pa.array(both[1][met].astype(np.int64))], names=["id", "clean", "toxic"])
 
     gathered = materialize(gathered)
     sizes = {r["y"]: r["n"] for r in gathered.groupBy(F.least("y", F.lit(1)).alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -189,6 +190,7 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, all columns, without the documents that the model calls toxic."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
