@@ -4,8 +4,8 @@ DataFrame operations only. Paths become shapes (runs of digits and long hex stri
 shapes are counted per host, and a tree grows over the counts level by level: a segment turns into the wildcard
 where its node has many rare children, or where its branch goes on like its siblings taken together (small total
 variation distance, and labelled rates that chance can explain). What reaches the leaves are templates. A template
-is rejected when its purity, the share of blocked among its labelled pages drawn towards the host's share and
-that towards the share of all, reaches a threshold. Rules label the pages that they fit.
+is rejected when its purity, the share of blocked among its labelled pages drawn towards the share of all, reaches a
+threshold. Rules label the pages that they fit.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def templates(shapes: DataFrame) -> DataFrame:
         seen = branch.join(pool, node).join(distance, [*node, "seg"])
         rate = F.col("p_blocked") / F.greatest("p_labelled", F.lit(1))
         chance = 2 * F.sqrt(rate * (1 - rate) / F.greatest("b_labelled", F.lit(1)))
-        alike = (F.col("b_labelled") == 0) | (F.abs(F.col("b_blocked") / F.greatest("b_labelled", F.lit(1)) - rate) <= chance)
+        # a branch without labels takes its siblings' only where most of their pages have some
+        alike = ((F.col("b_labelled") == 0) & (2 * F.col("p_labelled") >= F.col("p_n"))) | (F.col("b_labelled") > 0) & (F.abs(F.col("b_blocked") / F.greatest("b_labelled", F.lit(1)) - rate) <= chance)
         rare = (F.col("children") > CHILDREN) & (F.col("b_n") < SHARE * F.col("p_n"))
         merged = (F.col("children") > 1) & (F.col("seg") != "") & (F.col("distance") <= DISTANCE + 1 / F.sqrt(F.col("b_n"))) & alike
         named = materialize(seen.select(*node, "seg", F.when((F.col("seg") != "") & (rare | merged), WILD).otherwise(F.col("seg")).alias("name")))
@@ -92,9 +93,8 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     tree = templates(shapes.fillna(0, ["blocked"]))
     total = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l")).first()
     share = (total["b"] + 0.5 * PRIOR) / (total["l"] + PRIOR) if total["l"] else 0.0
-    by_host = tree.groupBy("host").agg(((F.sum("blocked") + PRIOR * share) / (F.sum("labelled") + PRIOR)).alias("host_purity"))
     by_template = tree.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    purity = by_template.join(by_host, "host").select("host", "template", ((F.col("b") + PRIOR * F.col("host_purity")) / (F.col("l") + PRIOR)).alias("purity"))
+    purity = by_template.select("host", "template", ((F.col("b") + PRIOR * share) / (F.col("l") + PRIOR)).alias("purity"))
     known = materialize(tree.select("host", "shape", "template").join(purity, ["host", "template"]))
     out = rows.join(known, ["host", "shape"])
     verdict = F.coalesce("action", F.when(F.col("purity") >= PURITY, "block").otherwise("allow"))
