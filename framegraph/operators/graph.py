@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .running import numbered
 
 
 @dataclass(frozen=True)
@@ -179,12 +180,11 @@ def violations(processors: DataFrame, connections: DataFrame, registry: DataFram
 
 
 def display_names(rows: DataFrame, name: str = "display_name") -> DataFrame:
-    """shown: the first of a name keeps it, the k-th gets ` k`; correct where no given name ends in such a number.
+    """shown: the first of a name (by ord, which tells rows apart) keeps it, the k-th gets ` k`.
 
-    `taken` marks rows whose new name another row was given: `display_names_skipping` settles those.
+    Correct where no given name ends in such a number: `display_names_skipping` settles those.
     """
-    w = Window.partitionBy(name).orderBy("ord", "id")
-    shown = rows.withColumn("_k", F.row_number().over(w)).withColumn("shown", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat(name, F.lit(" "), F.col("_k").cast("string"))))
+    shown = numbered(rows, name, "ord", "_k").withColumn("shown", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(name, F.lit(" "), (F.col("_k") + 1).cast("string"))))
     return shown.drop("_k")
 
 
@@ -212,8 +212,8 @@ def display_names_skipping(rows: DataFrame, name: str = "display_name") -> DataF
 def snapshot_aliases(rows: DataFrame) -> DataFrame:
     """alias: the type with a small first letter, then _2, _3 in order; show: the display name where it is not the type."""
     base = F.concat(F.lower(F.substring("type", 1, 1)), F.expr("substring(type, 2)"))
-    k = F.row_number().over(Window.partitionBy("type").orderBy("ord", "id"))
-    return rows.withColumn("_k", k).select("id", F.when(F.col("_k") > 1, F.concat(base, F.lit("_"), F.col("_k").cast("string"))).otherwise(base).alias("alias"), F.nullif("display_name", "type").alias("shown"))
+    k = F.col("_k") + 1
+    return numbered(rows, "type", "ord", "_k").select("id", F.when(k > 1, F.concat(base, F.lit("_"), k.cast("string"))).otherwise(base).alias("alias"), F.nullif("display_name", "type").alias("shown"))
 
 
 def fold_operations(ops: DataFrame) -> DataFrame:

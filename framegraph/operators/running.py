@@ -16,13 +16,13 @@ WIDTH = 100_000
 
 def _running(df: DataFrame, key: str, order: str, out: str, inside: Column, total: Column, carry, combine, width: int, inclusive: bool = True) -> DataFrame:
     """inside: window function of rows up to the row's own (or before it); total: aggregate of a bucket; carry: of totals; combine: of both."""
-    cut = df.withColumn("_b", F.floor(F.col(order) / width).cast("long"))
-    w = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    totals = cut.groupBy(key, "_b").agg(total.alias("_t"))
-    before = carry(F.col("_t")).over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), before.alias("_c"))
-    rows = cut.withColumn("_i", inside.over(w)).join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
-    return rows.withColumn(out, combine(F.col("_c"), F.col("_i"))).drop("_b", "_i", "_k", "_kb", "_c")
+    cut = df.withColumn("_run_bucket", F.floor(F.col(order) / width).cast("long"))
+    w = Window.partitionBy(key, "_run_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    totals = cut.groupBy(key, "_run_bucket").agg(total.alias("_run_total"))
+    before = carry(F.col("_run_total")).over(Window.partitionBy(key).orderBy("_run_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select(F.col(key).alias("_run_key"), F.col("_run_bucket").alias("_run_at"), before.alias("_run_before"))
+    rows = cut.withColumn("_run_inside", inside.over(w)).join(carried, F.col(key).eqNullSafe(F.col("_run_key")) & F.col("_run_bucket").eqNullSafe(F.col("_run_at")))
+    return rows.withColumn(out, combine(F.col("_run_before"), F.col("_run_inside"))).drop("_run_bucket", "_run_inside", "_run_key", "_run_at", "_run_before")
 
 
 def numbered(df: DataFrame, key: str, order: str = "seq", out: str = "n", width: int = WIDTH) -> DataFrame:
