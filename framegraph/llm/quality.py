@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_fold, slices, table
+from .common import id_and_text, in_fold, mix, slices, table
 
 CHUNK, HOP = 512, 448
 EMBED, FILTERS, DENSE, WIDTH = 8, 32, 24, 4
@@ -134,16 +134,20 @@ def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> d
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     each = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     rows = id_and_text(docs).join(F.broadcast(each[0].unionByName(each[1])), "doc_id")  # at most `sample` rows of 12 bytes
-    # training looks at TRAIN_CHUNKS chunks of a text at a time; of longer texts so many at random places are enough
-    found = rows.select("doc_id", "text", "y").orderBy("doc_id").toLocalIterator()
-    rng, texts, y = np.random.default_rng(5), [], []
-    for r in found:
-        text = r["text"].encode()
-        most = 4 * TRAIN_CHUNKS * HOP
-        s = int(rng.integers(0, len(text) - most + 1)) if len(text) > most else 0
-        texts.append(text[s : s + most])
-        y.append(r["y"])
-    return fit(texts, np.array(y, np.int64))
+    # training looks at TRAIN_CHUNKS chunks of a text at a time: of longer texts a part at a place that the id fixes is enough
+    most = 4 * TRAIN_CHUNKS * HOP
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+                text = text.as_py()
+                s = int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(max(len(text) - most + 1, 1)))
+                out.append(text[s : s + most])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], names=["doc_id", "y", "part"])
+
+    found = rows.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, part binary").orderBy("doc_id").collect()  # `sample` parts of bounded size
+    return fit([bytes(r["part"]) for r in found], np.array([r["y"] for r in found], np.int64))
 
 
 def score(docs: DataFrame, weights: dict) -> DataFrame:
