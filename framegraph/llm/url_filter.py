@@ -53,7 +53,8 @@ def _shape(path: Column) -> Column:
 def templates(shapes: DataFrame) -> DataFrame:
     """(host, shape, template) from shapes: host, shape array, n, labelled, blocked."""
     tree = shapes.select("host", "shape", "n", "labelled", "blocked", F.lit("").alias("at"))
-    for level in range(LEVELS):
+    depth = shapes.agg(F.max(F.size("shape")).alias("d")).first()["d"] or 0
+    for level in range(min(LEVELS, depth)):
         tree = tree.withColumn("seg", F.coalesce(F.get("shape", level), F.lit(""))).withColumn("next", F.coalesce(F.get("shape", level + 1), F.lit("")))
         node = ["host", "at"]
         counts = materialize(tree.groupBy(*node, "seg", "next").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))))
