@@ -57,16 +57,28 @@ def link_address(ref: Column) -> tuple[Column, Column]:
     return F.coalesce(alias, ref), F.coalesce(port, F.lit(""))
 
 
-def channel_name(source: Column, port: Column, most: int = 63) -> Column:
-    """lower(source)/port; a source too long is cut and closed with 12 hex digits of its hash; no room for it: an error.
+def fnv1a_64(data: Column) -> Column:
+    """FNV-1a of a string's bytes as 16 lower-case hex digits; whole numbers beyond 64 bits are decimals on the way."""
+    word = lambda x: x.cast("decimal(20,0)")
+    hexes = F.hex(data.cast("binary"))
+    bytes_ = F.transform(F.sequence(F.lit(1), F.greatest(F.length(hexes), F.lit(1)), F.lit(2)), lambda k: F.conv(F.substr(hexes, k, F.lit(2)), 16, 10).cast("int"))
+
+    def step(h, b):
+        low = (h % 256).cast("int")
+        return word((h - word(low) + word(low.bitwiseXOR(b))) * F.lit(1099511628211).cast("decimal(13,0)") % F.lit("18446744073709551616").cast("decimal(20,0)"))
+
+    h = F.aggregate(F.when(F.length(hexes) > 0, bytes_).otherwise(F.array().cast("array<int>")), word(F.lit("14695981039346656037")), step)
+    half = F.lit(1 << 32).cast("decimal(20,0)")
+    part = lambda x: F.lpad(F.lower(F.hex(x.cast("long"))), 8, "0")
+    return F.concat(part(F.floor(h / half)), part(h % half))
 
-    The hash is xxhash64: equal names stay equal, the digits are this library's own.
-    """
+
+def channel_name(source: Column, port: Column, most: int = 63) -> Column:
+    """lower(source)/port; a source too long is cut and closed with the last 12 hex digits of its FNV-1a; no room: an error."""
     room = most - 1 - F.octet_length(port)
     low = F.lower(source)
-    digest = F.right(F.lpad(F.lower(F.hex(F.xxhash64(low))), 16, "0"), F.lit(12))
-    cut = F.concat(F.substr(low, F.lit(1), F.greatest(room - 13, F.lit(0))), F.lit("-"), digest)
-    return F.when(F.octet_length(low) <= room, F.concat(low, F.lit("/"), port)).when(room >= 14, F.concat(cut, F.lit("/"), port)).otherwise(F.raise_error(F.concat(F.lit("no room for the source in channel of port "), port)))
+    cut = F.concat(F.substr(low, F.lit(1), F.greatest(room - 13, F.lit(0))), F.lit("-"), F.right(fnv1a_64(low), F.lit(12)))
+    return F.when(F.octet_length(low) <= room, F.concat(low, F.lit("/"), port)).when(room >= 13, F.concat(cut, F.lit("/"), port)).otherwise(F.raise_error(F.concat(F.lit("no room for the source in channel of port "), port)))
 
 
 def track_name(processor: Column, port: Column) -> Column:

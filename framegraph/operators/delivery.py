@@ -75,8 +75,9 @@ def admission(frames: DataFrame, ceiling: int = CEILING, first_capacity: int = 1
     rows = running_max(rows, "channel", F.when(fits, F.col("len")), out="_before", inclusive=False)
 
     def capacity(most):
-        grown = F.greatest(F.lit(first_capacity).cast("long"), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(most, F.lit(1))))).cast("long"))
-        return F.coalesce(F.least(grown, F.lit(ceiling).cast("long")), F.lit(first_capacity).cast("long"))
+        # the next power of two by the length of its binary digits; nothing grows while frames fit what there is
+        grown = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(most - 1)))
+        return F.when(most > first_capacity, grown).otherwise(F.lit(first_capacity).cast("long"))
 
     beyond = lambda most: capacity(F.col(most)) > ceiling // 4
     return rows.withColumn("capacity", capacity(F.col("_top"))).withColumn("crossed", beyond("_top") & ~beyond("_before")).drop("_top", "_before")

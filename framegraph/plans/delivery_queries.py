@@ -98,7 +98,7 @@ def lim_tap_zero(spark, sf):
 
 
 @query("flt_admission", W + """, c AS (SELECT *, len <= 84 AS admitted, max(CASE WHEN len <= 84 THEN len END) OVER (PARTITION BY channel ORDER BY seq) AS top FROM f),
-k AS (SELECT *, least(greatest(16, CAST(pow(2, ceil(log2(coalesce(top, 1)))) AS BIGINT)), 84) AS capacity FROM c)
+k AS (SELECT *, CASE WHEN top > 16 THEN 1::BIGINT << CAST(len(bin(top - 1)) AS INT) ELSE 16 END AS capacity FROM c)
 SELECT channel, seq, admitted, capacity, capacity > 21 AND NOT coalesce(lag(capacity > 21) OVER (PARTITION BY channel ORDER BY seq), false) AS crossed FROM k""")
 def flt_admission(spark, sf):
     return d.admission(frames(spark, sf), ceiling=84, first_capacity=16).select("channel", "seq", "admitted", "capacity", "crossed")

@@ -205,3 +205,18 @@ def test_running_values_do_not_depend_on_buckets(spark, width):
             now = there + [v] * (v is not None)
             assert got[key, seq] == (n, sum(now), max(there, default=None), now[-1] if now else None)
             seen.append(v)
+
+
+def test_fnv(spark):
+    def fnv(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return f"{h:016x}"
+
+    texts = ["", "a", "foobar", "é漢字", "x" * 200, "camera/7"]
+    got = {r["s"]: r["h"] for r in spark.createDataFrame([(x,) for x in texts], "s string").select("s", text.fnv1a_64(F.col("s")).alias("h")).collect()}
+    assert got == {x: fnv(x.encode()) for x in texts}
+    long = "Proc" * 30
+    name = spark.range(1).select(text.channel_name(F.lit(long), F.lit("out")).alias("n")).first()["n"]
+    assert name == f"{long.lower()[:46]}-{fnv(long.lower().encode())[-12:]}/out" and len(name) == 63
