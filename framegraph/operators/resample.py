@@ -60,31 +60,36 @@ def resample(frames: DataFrame, source_rate: int, target_rate: int, quality: str
 
 
 def envelope(gates: DataFrame, attack_s: float = 600.0, decay_s: float = 1200.0, sustain: float = 0.6, release_s: float = 1800.0) -> DataFrame:
-    """level at each gate change of a stream (stream, t_us, on): attack to one, decay to sustain, release to zero."""
-
-    def rise(level: float, stage: str, dt: float) -> tuple[float, str]:
-        if stage == "attack":
-            need = (1 - level) * attack_s
-            if dt < need:
-                return level + dt / attack_s, stage
-            return rise(1.0, "decay", dt - need)
-        if stage == "decay":
-            level = max(sustain, level - dt * (1 - sustain) / decay_s)
-            return level, "decay" if level > sustain else "sustain"
-        if stage == "release":
-            level = max(0.0, level - dt / release_s)
-            return level, "release" if level else "idle"
-        return level, stage
+    """level at each row of a stream (stream, t_us, on): on true triggers, false releases, null only samples.
+
+    Attack rises from zero, decay falls to the sustain level, release falls from that to zero. A stage ends at the first
+    sample at or after its time, where the next one starts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, level, stage, last = None, 0.0, "idle", 0
+        stream, stage, since = None, "idle", 0
         for batch in batches:
             out = []
             for s, t, on in zip(*(batch.column(c).to_pylist() for c in ("stream", "t_us", "on")), strict=True):
                 if s != stream:
-                    stream, level, stage, last = s, 0.0, "idle", t
-                level, stage = rise(level, stage, (t - last) / 1e6)
-                last, stage = t, "attack" if on else "release"
+                    stream, stage = s, "idle"
+                if on:
+                    stage, since = "attack", t
+                elif on is False and stage != "idle":
+                    stage, since = "release", t
+                share = (t - since) / 1e6 / {"attack": attack_s, "decay": decay_s, "release": release_s}.get(stage, 1.0)
+                over = share >= 1
+                if stage == "attack":
+                    level = 1.0 if over else share
+                elif stage == "decay":
+                    level = sustain if over else 1 - (1 - sustain) * share
+                elif stage == "release":
+                    level = 0.0 if over else sustain * (1 - share)
+                else:
+                    level = sustain if stage == "sustain" else 0.0
+                following = {"attack": "decay", "decay": "sustain", "release": "idle"}.get(stage)
+                if over and following:
+                    stage, since = following, t
                 out.append(level)
             yield pa.record_batch([batch.column("stream"), batch.column("t_us"), pa.array(out, pa.float64())], names=["stream", "t_us", "level"])
 

@@ -223,6 +223,6 @@ def agg_channel_mean(spark, sf):
 def ar_adsr(spark, sf):
     from ..operators.resample import envelope
 
-    e = spark.read.parquet(f"{sf}/events.parquet").where("event_type in ('click', 'view')")
-    gates = e.select(F.col("user_id").alias("stream"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), (F.col("event_type") == "click").alias("on"))
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    gates = e.select(F.col("user_id").alias("stream"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), F.when(F.col("event_type") == "click", True).when(F.col("event_type") == "view", False).alias("on"))
     return envelope(gates).select("stream", "t_us", F.round("level", 6).alias("level"))

@@ -124,8 +124,9 @@ def test_sinc_resampling_keeps_a_slow_sine(spark):
 
 
 def test_envelope(spark):
-    gates = spark.createDataFrame([(1, 0, True), (1, 300_000_000, False), (1, 4_000_000_000, True)], "stream long, t_us long, on boolean")
-    assert [r["level"] for r in envelope(gates).orderBy("t_us").collect()] == pytest.approx([0.0, 0.5, 0.0])
+    steps = [(0, None, 0.0), (10, True, 0.0), (310, None, 0.5), (700, None, 1.0), (1300, None, 0.8), (1900, None, 0.6), (5000, None, 0.6), (6000, False, 0.6), (6900, None, 0.3), (7800, None, 0.0), (7900, False, 0.0)]
+    gates = spark.createDataFrame([(1, t * 1_000_000, on) for t, on, _ in steps], "stream long, t_us long, on boolean")
+    assert [r["level"] for r in envelope(gates).orderBy("t_us").collect()] == pytest.approx([x for _, _, x in steps])
 
 
 def test_channels_there_and_back(spark):
