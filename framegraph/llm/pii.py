@@ -4,8 +4,9 @@ DataFrame operations only; what reaches the driver is a table of feature cells w
 bins bounds. Fixed patterns give the base spans of four kinds. Wide generators propose further, overlapping spans
 (numbers with separators, spelled-out addresses, long mixed tokens). Each candidate gets binned features of its
 format and context. Candidates that meet a base span are the positives from which gradient-boosted trees of depth
-two learn what personal data looks like without the validators; a threshold calibrated for precision picks the
-candidates that are added. Base spans always stay.
+two learn what personal data looks like; spelled-out addresses are put in plain form first, so that they look like others. The
+margins are calibrated by isotonic regression, and candidates whose calibrated precision is high enough are added.
+Base spans always stay.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ WIDE = {
     "dotted": r"(?:\G|(?<![0-9A-Fa-f:.]))[0-9A-Fa-f]{1,4}+(?:[.:][0-9A-Fa-f]{1,4}+){3,}+",
     "token": r"(?:\G|(?<![A-Za-z0-9_/+=-]))[A-Za-z0-9_/+=-]{24,}+",
 }
-TREES, RATE, PRECISION = 24, 0.4, 0.9
+#: Trees, their step, and the share of base spans among like candidates from which one is added: those without a base
+#: span are not all something else, so half is enough. A leaf holds LEAST candidates or more.
+TREES, RATE, PRECISION, LEAST = 24, 0.4, 0.5, 10
 
 
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
@@ -80,10 +83,11 @@ FEATURES = {
     "generator": "g",
     "digits": "case when length(regexp_replace(c.m, '[^0-9]', '')) = 0 then 0 when length(regexp_replace(c.m, '[^0-9]', '')) < 9 then 1 when length(regexp_replace(c.m, '[^0-9]', '')) < 13 then 2 when length(regexp_replace(c.m, '[^0-9]', '')) < 20 then 3 else 4 end",
     "length": "case when length(c.m) < 8 then 0 when length(c.m) < 13 then 1 when length(c.m) < 20 then 2 when length(c.m) < 41 then 3 else 4 end",
-    "plus": "int(startswith(c.m, '+'))",
     "dots": "least(length(regexp_replace(c.m, '[^.]', '')), 4)",
     "at": "int(contains(c.m, '@'))",
     "gaps": "least(length(regexp_replace(c.m, '[^ ()-]', '')), 3)",
+    # digits that look like a card or an address of four parts: 2 if they hold as one, 1 if not
+    "check": "case when rlike(c.m, '^[0-9]+([.][0-9]+){3}$') then if(forall(split(c.m, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false)), 2, 1) when length(regexp_replace(c.m, '[^0-9]', '')) >= 13 then if(not rlike(c.m, '[^0-9 -]|[ -]{2}') and luhn_check(regexp_replace(c.m, '[^0-9]', '')), 2, 1) else 0 end",
     "letters": "case when length(regexp_replace(c.m, '[^A-Za-z]', '')) = 0 then 0 when length(regexp_replace(c.m, '[^A-Za-z]', '')) * 2 < length(c.m) then 1 else 2 end",
     "before": "case when rlike(lower(c.before), '(mail|tel|phone|call|card|addr|contact)[^a-z]*$') then 3 when rlike(c.before, '[=:]\\\\s*[\"'']?$') then 2 when c.before = '' or rlike(c.before, '\\\\s$') then 1 else 0 end",
     "after": "case when c.after = '' or rlike(c.after, '\\\\s') then 0 when rlike(c.after, '[.,;:!?)\"'']') then 1 else 2 end",
@@ -97,6 +101,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     numeric = text.rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "ip": numeric, "card": numeric, "phone": F.contains(text, F.lit("+")), "address": F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]"), "number": numeric, "dotted": numeric | F.contains(text, F.lit("::")), "token": text.rlike(WIDE["token"])}
     plain = {k: _spans(text, p, gates[k]) for k, p in (BASE | WIDE).items()}
+    at, dot = r"\x20?[(\[]at[)\]]\x20?", r"\x20?[(\[]dot[)\]]\x20?"
+    plain["address"] = F.transform(plain["address"], lambda c: c.withField("m", F.regexp_replace(F.regexp_replace(c["m"], at, "@"), dot, ".")))
     found = rows.select("doc_id", *(v.alias(k) for k, v in plain.items()))
 
     def valid_spans(kind: str) -> Column:
@@ -137,6 +143,23 @@ class Trees:
         return " + ".join([f"{self.start!r}D", *(leaf(t) for t in self.trees)])
 
 
+def _calibrated(scored: list[tuple[float, int, int]]) -> float:
+    """Of (margin, candidates, positives): the margin midway between precise and other candidates.
+
+    Precision as a function of the margin is the isotonic fit: neighbours out of order are pooled.
+    """
+    blocks: list[list[float]] = []
+    for margin, n, y in sorted(scored, reverse=True):
+        blocks.append([margin, n, y])
+        while len(blocks) > 1 and (blocks[-1][0] == blocks[-2][0] or blocks[-1][2] * blocks[-2][1] > blocks[-2][2] * blocks[-1][1]):
+            margin, n, y = blocks.pop()
+            blocks[-1] = [margin, blocks[-1][1] + n, blocks[-1][2] + y]
+    precise = sum(y >= PRECISION * n for _, n, y in blocks)
+    if not precise:
+        return float("inf")
+    return sum(block[0] for block in blocks[precise - 1 : precise + 1]) / len(blocks[precise - 1 : precise + 1]) - 1e-9
+
+
 def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TREES) -> Trees:
     """cells: (features, candidates, positives among them). Newton boosting with an L2 penalty of one."""
     model = Trees(names)
@@ -160,6 +183,9 @@ def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TRE
             for name in names:
                 for cut in sorted({cells[k][0][name] for k in at})[:-1]:
                     low = [k for k in at if cells[k][0][name] <= cut]
+                    below = sum(cells[k][1] for k in low)
+                    if min(below, sum(cells[k][1] for k in at) - below) < LEAST:
+                        continue
                     gl, hl = value(low)
                     gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
                     if gain > 1e-6 and (best is None or gain > best[0]):
@@ -174,13 +200,7 @@ def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TRE
         tree = grow(list(range(len(cells))), 2)
         model.trees.append(tree)
         margins = [m + model._leaf(tree, x) for m, (x, _, _) in zip(margins, cells, strict=True)]
-    # the lowest margin down to which the candidates above stay precise enough (one success and one failure added)
-    hits = total = 0
-    model.threshold = float("inf")
-    for k in sorted(range(len(cells)), key=lambda k: -margins[k]):
-        hits, total = hits + cells[k][2], total + cells[k][1]
-        if (hits + 1) / (total + 2) >= PRECISION:
-            model.threshold = margins[k] - 1e-9
+    model.threshold = _calibrated([(m, c, y) for m, (_, c, y) in zip(margins, cells, strict=True)])
     return model
 
 
@@ -196,7 +216,7 @@ def find(docs: DataFrame) -> DataFrame:
     model = boost([(r["x"].asDict(), r["n"], r["y"]) for r in sorted(cells, key=lambda r: tuple(r["x"]))], names)
     # cells times trees are few: every document's candidates get their margins by one expression
     margin = model.sql()
-    kind = "case c.generator when 'address' then 'email' when 'dotted' then 'ip' when 'token' then 'secret' else case when startswith(c.m, '+') then 'phone' when length(regexp_replace(c.m, '[^0-9]', '')) between 13 and 19 then 'card' else 'phone' end end"
+    kind = "case c.generator when 'address' then 'email' when 'dotted' then 'ip' when 'token' then 'secret' else case when startswith(c.m, '+') then 'phone' when length(regexp_replace(c.m, '[^0-9]', '')) >= 13 then 'card' else 'phone' end end"
     threshold = repr(model.threshold) + "D" if math.isfinite(model.threshold) else "double('Infinity')"
     scored = found.withColumn("likely", F.expr(f"filter(transform(filter(wide, c -> not c.met), c -> struct(-({margin.replace('x.', 'c.x.')}) as margin, c.s as s, -c.e as e, {kind} as kind)), c -> -c.margin >= {threshold})"))
     added = F.expr(

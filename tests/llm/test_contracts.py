@@ -409,6 +409,20 @@ def test_pii_base_spans(spark, odd, none):
     assert pii.find(none).count() == 0
 
 
+def test_pii_adds_what_looks_like_base_spans(spark):
+    """A phone number without its plus and a spelled-out address are added; a number that fails Luhn and a hash are not."""
+    texts = []
+    for k in range(60):
+        card = next(c for c in (f"45{k:02}1122{k:02}66778{d}" + str(x) for d in range(10) for x in range(10)) if valid("card", c))
+        bad = card[:-1] + str((int(card[-1]) + 1) % 10)
+        texts += [f"we called +1 ({200 + k}) 555-{1000 + 7 * k} then", f"from ab.{10 + k}@mail{k % 9}.example.com today", f"paid by {card} here", f"number {bad} here", f"hash {k:02}f0ddae3b09ae356cbefecdd3232fa5489b{k:02}00 end", f"order {k}{20240000 + k} ok"]
+    extra = ["ring (415) 555-2671 then", "from xy.42 (at) mail3.example (dot) com today", "number 4242424242424241 here", "1 2" * 20_000, "1-" * 20_000]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts + extra)), "doc_id long, text string")).collect()}
+    got = [[tuple(s) for s in out[len(texts) + k]["spans"]] for k in range(3)]
+    assert got == [[("phone", 5, 19)], [("email", 5, 39)], []]
+    assert sum(len(out[k]["base"]) for k in range(len(texts))) == 180 == sum(len(out[k]["spans"]) for k in range(len(texts)))
+
+
 def test_boosting_separates_cells():
     cells = [({"a": a, "b": b}, 50, 48 if a > 1 and b > 0 else 1) for a in range(4) for b in range(2)]
     model = pii.boost(cells, ["a", "b"])
