@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -81,6 +81,27 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def text_marks(text: Column) -> tuple[Column, Column]:
+    """A 128-bit name of a text (null: empty): with doc_id it tells rows apart whose ids are repeated or null."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def without(docs: DataFrame, gone: DataFrame, once: bool) -> DataFrame:
+    """docs, all columns, without the rows whose doc_id and text marks are in gone (doc_id, m1, m2); with `once` of
+    rows equal in all three exactly one stays."""
+    m1, m2 = "_m1", "_m2"
+    while m1 in docs.columns or m2 in docs.columns:
+        m1, m2 = "_" + m1, "_" + m2
+    first, second = text_marks(F.col("text"))
+    marked = docs.withColumn(m1, first).withColumn(m2, second)
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("m1").alias("_gone1"), F.col("m2").alias("_gone2")).distinct()
+    gone = if_small(materialize(gone))
+    same = marked["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (marked[m1] == gone["_gone1"]) & (marked[m2] == gone["_gone2"])
+    kept = marked.join(gone, same, "left_anti")
+    return (kept.dropDuplicates(["doc_id", m1, m2]) if once else kept).drop(m1, m2)
+
+
 def in_fold(doc_id, modulus: int, remainder: int):
     """crc32(doc_id as text) mod modulus == remainder, false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == remainder, F.lit(False))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, id_and_text, if_small, materialize, slices, table
+from .common import ALNUM, Words, id_and_text, slices, table, text_marks, without
 
 SIZE = 10
 #: Windows in a block, at most about 160 bytes each when broadcast.
@@ -104,7 +104,8 @@ def _frequencies(docs: DataFrame, vocabulary) -> DataFrame:
 
 
 def _matched(docs: DataFrame, block) -> DataFrame:
-    """Per document: its number of words, the disjoint hit spans [from, to) and the items met."""
+    """Per document: its columns but text, its number of words, the disjoint hit spans [from, to) and the items met."""
+    keys = [c for c in docs.columns if c != "text"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
@@ -124,11 +125,11 @@ def _matched(docs: DataFrame, block) -> DataFrame:
                 own = np.flatnonzero(np.diff(hit[w.first[doc] : w.first[doc + 1]].astype(np.int8), prepend=0, append=0))
                 spans[doc] = own.reshape(-1, 2).tolist()
             yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), pa.array(w.counts()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([list(items.get(k, ())) for k in range(w.texts)], pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n_words", "spans", "items"],
+                [*(batch.column(c) for c in keys), pa.array(w.counts()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([list(items.get(k, ())) for k in range(w.texts)], pa.list_(pa.int64()))],
+                names=[*keys, "n_words", "spans", "items"],
             )
 
-    return docs.mapInArrow(match, "row long, doc_id long, n_words long, spans array<array<long>>, items array<long>")
+    return docs.mapInArrow(match, "".join(f"{c} long, " for c in keys) + "n_words long, spans array<array<long>>, items array<long>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -137,8 +138,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
     Null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated documents give
     repeated rows, repeated items count once. Items of fewer than `size` words, but at least one, are one window.
     """
+    found = _found(id_and_text(docs), benchmark, size, block_windows)
+    return found.select("doc_id", "n_words", "spans", F.expr("array_sort(transform(items, x -> cast(x as string)))").alias("items"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_windows: int) -> DataFrame:
+    """docs (text and columns of type long) without text, with n_words, spans and items of each row."""
     spark = docs.sparkSession
-    rows = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
     cut = id_and_text(benchmark, "item_id").mapInArrow(_windows(size), _ITEM_WINDOWS)
     n = cut.count()
     blocks = -(-n // block_windows)
@@ -150,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
         part = _matched(rows, spark.sparkContext.broadcast(_Block(mine, frequency)))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        both = found.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        both = found.groupBy(*(c for c in rows.columns if c != "text")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
         # spans of several blocks may overlap: sorted, each is put together with the last one or set after it
         found = both.withColumn(
             "spans",
@@ -159,14 +166,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
                 " concat(slice(done, 1, size(done) - 1), array(array(element_at(done, -1)[0], greatest(element_at(done, -1)[1], s[1])))), concat(done, array(s))))"
             ),
         )
-    return found.select("doc_id", "n_words", "spans", F.expr("array_sort(transform(items, x -> cast(x as string)))").alias("items"))
+    return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
-    """docs, all columns, without documents of which more than `share` of the words is hit."""
-    hit = contamination(docs, benchmark).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])"))
-    bad = materialize(hit.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(share) * F.col("n_words"))).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(if_small(bad), docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """docs, all columns, without documents of which more than `share` of the words is hit.
+
+    Each row is judged by its own text, whatever other rows have its doc_id.
+    """
+    m1, m2 = text_marks(F.col("text"))
+    hit = _found(id_and_text(docs).withColumn("m1", m1).withColumn("m2", m2), benchmark, SIZE, BLOCK_WINDOWS)
+    hit = hit.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s[1] - s[0])"))
+    return without(docs, hit.where((F.col("n_hit") > 0) & (F.col("n_hit") > F.lit(share) * F.col("n_words"))), once=False)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

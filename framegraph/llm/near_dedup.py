@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, id_and_text, if_small, materialize, mix, runs, slices, table
+from .common import ALNUM, Words, id_and_text, if_small, materialize, mix, runs, slices, table, text_marks, without
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -29,8 +29,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Documents on either side of a tile.
 TILE = 512
-#: Stands for a null doc_id.
-NO_ID = -(1 << 63)
 _BITS = 44
 
 
@@ -54,6 +52,11 @@ class Shingles:
         self.texts = w.texts
         self.first = np.searchsorted(self.owner, np.arange(w.texts + 1))
 
+    def names(self) -> list[np.ndarray]:
+        """A 128-bit name of each text's set of shingles, in two halves."""
+        sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.ids + np.uint64(seed)))]) for seed in (0x1234567, 0x89ABCDE)]
+        return [(x[self.first[1:]] - x[self.first[:-1]]).view(np.int64) for x in sums]
+
 
 def prob_min_hash(ids: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts: int, registers: int) -> np.ndarray:
     """Per text and register the shingle that arrives first (0 in texts without shingles)."""
@@ -83,18 +86,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (s.texts, BANDS))
         for k in range(ROWS):
             band = mix(band * np.uint64(0x9E3779B97F4A7C15) + won[:, :, k])
-        # a 128-bit name of the set of shingles
-        sums = [np.concatenate([[0], np.cumsum(mix(s.ids + np.uint64(seed)))]).astype(np.uint64) for seed in (0x1234567, 0x89ABCDE)]
-        names = [(x[s.first[1:]] - x[s.first[:-1]]).view(np.int64) for x in sums]
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, s.texts * BANDS + 1, BANDS), pa.int32()), pa.array(np.ascontiguousarray(band).view(np.int64).ravel()))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(s.first)), pa.array(names[0]), pa.array(names[1]), bands], names=["doc_id", "n", "k1", "k2", "bands"])
+        keys = ["row", "doc_id", "m1", "m2"]
+        yield pa.record_batch([*(batch.column(c) for c in keys), pa.array(np.diff(s.first)), *(pa.array(x) for x in s.names()), bands], names=[*keys, "n", "k1", "k2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         s = Shingles(batch.column("text"))
         data = (s.ids >> np.uint64(_BITS - 32)).astype(np.uint32)
-        yield pa.record_batch([batch.column("doc_id"), pa.array([np.unique(data[a:b]).tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+        sets = pa.array([np.unique(data[a:b]).tobytes() for a, b in zip(s.first[:-1], s.first[1:], strict=True)], pa.binary())
+        yield pa.record_batch([*(pa.array(x) for x in s.names()), sets], names=["k1", "k2", "shingles"])
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -137,28 +139,34 @@ def _tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id and class_id, the smallest doc_id of its class of near duplicates.
+def _classed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, m1, m2, component, class_id) of every row of docs, doc_id and text marks as in `without`.
 
-    Documents without words (null or empty text too) are alone in their class, as are all that have no link.
-    Repeated rows share a class. A null doc_id counts as the smallest.
+    Rows are told apart by `row`, written once with what is read from the text; sets of shingles go by the first row
+    that has them, and component is the first row of a class (null for rows without words).
     """
-    rows = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, bands array<long>"))
+    m1, m2 = text_marks(F.col("text"))
+    rows = id_and_text(docs).withColumn("m1", m1).withColumn("m2", m2)
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    signed = materialize(numbered.mapInArrow(_sign, "row long, doc_id long, m1 long, m2 long, n long, k1 long, k2 long, bands array<long>"))
     worded = signed.where("n > 0")
     # written, so that both sides of the joins below are dealt anew and a hot key can be split
-    classes = materialize(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    members = worded.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"]).select("doc_id", "rep")
-    reps = worded.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "doc_id"], "left_semi")
-    cells = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct()
+    classes = materialize(worded.groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.bool_or(F.col("doc_id").isNull()).alias("no_id")))
+    reps = worded.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    cells = reps.select(F.col("row").alias("rep"), F.explode("bands").alias("key")).distinct()
     buckets = materialize(cells.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("size")).where("size > 1"))
     candidates = materialize(cells.join(buckets, "key"))
     stars = candidates.where("rep != lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    wanted = materialize(candidates.select(F.col("rep").alias("doc_id")).distinct())
-    sets = materialize(rows.join(if_small(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-    x = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    wanted = candidates.select(F.col("rep").alias("row")).distinct()
+    wanted = materialize(worded.select("row", "doc_id", "m1", "m2", "k1", "k2").join(wanted, "row"))
+    # the wanted rows and those equal to them in doc_id and text, whose sets are the same
+    keys = if_small(wanted.select(F.col("doc_id").alias("w_id"), F.col("m1").alias("w1"), F.col("m2").alias("w2")))
+    texts = rows.join(keys, rows["doc_id"].eqNullSafe(keys["w_id"]) & (rows["m1"] == keys["w1"]) & (rows["m2"] == keys["w2"]), "left_semi")
+    texts = texts.select("text").mapInArrow(_sets, "k1 long, k2 long, shingles binary").dropDuplicates(["k1", "k2"])
+    sets = materialize(texts.join(wanted.select("k1", "k2", "row"), ["k1", "k2"]).select(F.col("row").alias("rep"), "shingles"))
+    x = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     with_b = stars.join(x, "b")
-    with_both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+    with_both = with_b.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
     links = materialize(with_both.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
     found = components(links)
 
@@ -173,22 +181,49 @@ def near_classes(docs: DataFrame) -> DataFrame:
     dealt = labelled.join(open_, "key")
     left = dealt.where("outside").select("key", chunk("n_out").cast("int").alias("i"), spread("n_all").alias("j"), F.lit(0).alias("side"), "rep", "component")
     right = dealt.where("rep != lead").select("key", spread("n_out").alias("i"), chunk("n_all").cast("int").alias("j"), F.lit(1).alias("side"), "rep", "component")
-    tiles = left.unionByName(right).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    tiles = left.unionByName(right).join(sets, "rep")
     more = tiles.groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long")
     found = components(links.unionByName(more))
-    out = members.join(found.withColumnRenamed("v", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    out = out.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
-    return out.select(*(F.expr(f"nullif({c}, {NO_ID}L)").alias(c) for c in ("doc_id", "class_id")))
+    # the smallest doc_id of each component, a null one before all others
+    found = found.withColumnRenamed("v", "rep")
+    joined = found.join(classes, "rep").groupBy("component").agg(F.min("least").alias("c_least"), F.bool_or("no_id").alias("c_no_id"))
+    named = classes.join(found.join(materialize(joined), "component"), "rep", "left").select(
+        "k1",
+        "k2",
+        F.coalesce("component", "rep").alias("component"),
+        F.when(~F.coalesce("c_no_id", "no_id"), F.coalesce("c_least", "least")).alias("class_id"),
+    )
+    out = worded.select("row", "doc_id", "m1", "m2", "k1", "k2").join(materialize(named), ["k1", "k2"]).drop("k1", "k2")
+    return out.unionByName(signed.where("n = 0").select("row", "doc_id", "m1", "m2", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id")))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id and class_id, the smallest doc_id of its class of near duplicates.
+
+    Documents without words (null or empty text too) are alone in their class, as are all that have no link.
+    Repeated rows share a class; different texts under one doc_id, or with a null one, are different documents,
+    though their classes may go by the same id. A null doc_id counts as the smallest.
+    """
+    return _classed(docs).select("doc_id", "class_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document (the smallest doc_id) of each class of near duplicates."""
-    classes = materialize(near_classes(docs))
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(if_small(gone), docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """docs, all columns, with one document (the smallest doc_id) of each class of near duplicates.
+
+    Texts that are not near duplicates all stay, whatever their doc_ids. Of rows equal in doc_id and text one stays.
+    """
+    classed = materialize(_classed(docs))
+    head = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = classed.where(~head)
+    # classes in which several rows have the smallest doc_id: the first row's text stays
+    heads = classed.where(head & F.col("component").isNotNull())
+    several = materialize(heads.groupBy("component").agg(F.min("row").alias("stay"), F.count("*").alias("n")).where("n > 1"))
+    if not several.isEmpty():
+        heads = heads.join(several, "component")
+        stay = heads.where("row = stay").select("component", F.col("m1").alias("s1"), F.col("m2").alias("s2"))
+        gone = gone.unionByName(heads.join(stay, "component").where("m1 != s1 or m2 != s2").select(gone.columns))
+    repeated = not classed.groupBy("doc_id", "m1", "m2").count().where("count > 1").limit(1).isEmpty()
+    return without(docs, gone, once=repeated)
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,8 @@ import pytest
 
 import corpus_pipeline as cp
 from framegraph.llm.common import drop_scratch, materialize
+from framegraph.llm.decontamination import drop_contaminated
+from framegraph.llm.near_dedup import drop_near_copies
 
 from .test_contracts import ALNUM, LOW, brute_classes, check_packing
 
@@ -64,3 +66,20 @@ def test_stages_on_nothing(spark, empty):
     for _, stage in cp.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_stages_tell_rows_apart_by_more_than_doc_id(spark):
+    """Different texts under one doc_id or without one stay; their links and hits are their own."""
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    near = lambda name: text(name) + " end"
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (8, near("e")), (9, near("a"))]
+    rows += [(5, text("f")), (5, near("f")), (6, text("f")), (4, "!"), (4, "?"), (3, text("g")), (3, text("g"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in drop_near_copies(docs).collect()), key=str)
+    fives = [x for x in kept if x[0] == 5]
+    assert len(fives) == 1 and fives[0] in rows
+    assert [x for x in kept if x[0] != 5] == sorted([*rows[:5], (4, "!"), (4, "?"), (3, text("g"))], key=str)
+
+    bench = spark.createDataFrame([(1, text("b", 12)), (2, text("e", 12))], "item_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in drop_contaminated(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r[1][0] not in "be"], key=str)
