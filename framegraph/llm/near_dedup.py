@@ -1,6 +1,7 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A document is the set of its runs of five words (lower-cased, letters and digits), each weighted 1 + ln(times).
+A document is the set of its runs of five words (lower-cased, letters and digits), each of weight 1
+however often it occurs, so that what is banded is what a link is defined by: the Jaccard similarity of the sets.
 Every shingle sends arrivals of a Poisson process, whose rate is its weight, to random registers; a register
 keeps the shingle that arrives first, so two documents agree in a register with the probability Jaccard of their
 weighted sets. A shingle stops once its next arrival comes after the latest of the document's registers.
@@ -82,7 +83,7 @@ def prob_min_hash(ids: np.ndarray, weights: np.ndarray, owner: np.ndarray, texts
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         s = Shingles(batch.column("text"))
-        won = prob_min_hash(s.ids, 1 + np.log(s.times), s.owner, s.texts, BANDS * ROWS).reshape(s.texts, BANDS, ROWS)
+        won = prob_min_hash(s.ids, np.ones(len(s.ids)), s.owner, s.texts, BANDS * ROWS).reshape(s.texts, BANDS, ROWS)
         band = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (s.texts, BANDS))
         for k in range(ROWS):
             band = mix(band * np.uint64(0x9E3779B97F4A7C15) + won[:, :, k])

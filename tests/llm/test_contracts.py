@@ -519,3 +519,15 @@ def test_prob_min_hash_estimates_probability_jaccard():
     keep = [np.flatnonzero(x), np.flatnonzero(y)]
     sig = near_dedup.prob_min_hash(np.concatenate([ids[k] for k in keep]), np.concatenate([x[keep[0]], y[keep[1]]]), np.repeat([0, 1], [len(k) for k in keep]), 2, m)
     assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.02)
+
+
+def test_repeats_do_not_change_what_is_banded():
+    lines = [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(40)]
+    texts = [" ".join(lines), " ".join(lines[:20] * 100 + lines)]
+    extra = near_dedup.Shingles(near_dedup.pa.array(texts))
+    ids = near_dedup.pa.array([0, 1])
+    (out,) = near_dedup._sign([near_dedup.pa.record_batch([ids, ids, ids, ids, near_dedup.pa.array(texts)], names=["row", "doc_id", "m1", "m2", "text"])])
+    a, b = out.column("bands").to_pylist()
+    x, y = (set(extra.ids[extra.first[k] : extra.first[k + 1]].tolist()) for k in (0, 1))
+    assert len(x & y) / len(x | y) > 0.98
+    assert sum(p == q for p, q in zip(a, b, strict=True)) > 12
