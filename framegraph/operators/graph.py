@@ -130,14 +130,14 @@ class Graph:
 
     # checks -----------------------------------------------------------------------------------------------------
 
-    def cyclic(self, most: int = 64) -> DataFrame:
+    def cyclic(self) -> DataFrame:
         """Vertices on cycles, or between them: what is left once vertices without incoming or outgoing links are peeled.
 
         Each round drops all such vertices; a graph without cycles empties after as many rounds as its longest path.
         """
         left = self.links.where("src_id is not null and dst_id is not null").select("src_id", "dst_id").distinct()
         before = None
-        for _ in range(most):
+        while True:
             left = left.join(left.select(F.col("dst_id").alias("src_id")).distinct(), "src_id", "left_semi")
             left = left.join(left.select(F.col("src_id").alias("dst_id")).distinct(), "dst_id", "left_semi").checkpoint()
             n = left.count()

@@ -52,6 +52,11 @@ def test_cycles(spark):
     assert ids(graph(spark, ["ab", "bc", "cd"]).cyclic()) == []
 
 
+def test_a_long_chain_is_no_cycle(spark):
+    chain = [chr(0x4E00 + k) for k in range(140)]
+    assert ids(graph(spark, [a + b for a, b in zip(chain[:-1], chain[1:], strict=True)], chain).cyclic()) == []
+
+
 def test_display_names_skip_taken_suffixes(spark):
     rows = spark.createDataFrame([("1", "T", "N", 0), ("2", "T", "N 2", 1), ("3", "T", "N", 2), ("4", "T", "N", 3)], P)
     assert [r["shown"] for r in g.display_names_skipping(rows).orderBy("ord").collect()] == ["N", "N 2", "N 3", "N 4"]
