@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .timing import whole
+
 LEVELS = ("trace", "debug", "info", "warn", "error")
 
 
@@ -31,10 +33,8 @@ def format_started(millis: Column) -> Column:
 
 def wall_clock(ns: Column) -> Column:
     """HH:MM:SS.mmm of the day, truncated."""
-    s = F.floor(ns / F.lit(1_000_000_000)).cast("long")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    ms = F.floor(F.pmod(ns, F.lit(1_000_000_000)) / 1_000_000)
-    return F.concat(two(F.pmod(F.floor(s / 3600), F.lit(24))), F.lit(":"), two(F.pmod(F.floor(s / 60), F.lit(60))), F.lit(":"), two(F.pmod(s, F.lit(60))), F.lit("."), F.lpad(ms.cast("string"), 3, "0"))
+    part = lambda width, most, digits: F.lpad(F.pmod(whole(ns, width), F.lit(most)).cast("string"), digits, "0")
+    return F.concat(part(3_600_000_000_000, 24, 2), F.lit(":"), part(60_000_000_000, 60, 2), F.lit(":"), part(1_000_000_000, 60, 2), F.lit("."), part(1_000_000, 1000, 3))
 
 
 def log_pretty(r: dict[str, Column]) -> Column:
@@ -74,10 +74,15 @@ def fnv1a_64(data: Column) -> Column:
 
 
 def channel_name(source: Column, port: Column, most: int = 63) -> Column:
-    """lower(source)/port; a source too long is cut and closed with the last 12 hex digits of its FNV-1a; no room: an error."""
+    """lower(source)/port in at most `most` bytes; a source too long is cut at the last character that fits whole and
+    closed with the last 12 hex digits of its FNV-1a; no room: an error."""
     room = most - 1 - F.octet_length(port)
     low = F.lower(source)
-    cut = F.concat(F.substr(low, F.lit(1), F.greatest(room - 13, F.lit(0))), F.lit("-"), F.right(fnv1a_64(low), F.lit(12)))
+    # a byte that starts a character is not 10xxxxxx: the cut goes back to one
+    bytes_, fits = low.cast("binary"), F.greatest(room - 13, F.lit(0))
+    inner = lambda n: F.hex(F.substring(bytes_, n + 1, F.lit(1))).rlike("^[89AB]")
+    end = F.coalesce(F.array_max(F.filter(F.sequence(F.greatest(fits - 3, F.lit(0)), fits), lambda n: ~F.coalesce(inner(n), F.lit(False)))), F.lit(0))
+    cut = F.concat(F.substring(bytes_, F.lit(1), end).cast("string"), F.lit("-"), F.right(fnv1a_64(low), F.lit(12)))
     return F.when(F.octet_length(low) <= room, F.concat(low, F.lit("/"), port)).when(room >= 13, F.concat(cut, F.lit("/"), port)).otherwise(F.raise_error(F.concat(F.lit("no room for the source in channel of port "), port)))
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 TOLERANCE_MS = 16.6
 
 
+def whole(x: Column, width: int) -> Column:
+    """floor(x / width) of whole numbers, never by way of doubles: nanoseconds since 1970 do not fit these."""
+    w = F.lit(width).cast("long")
+    return F.call_function("div", x - F.pmod(x, w), w)
+
+
 def delta_ms(a: Column, b: Column) -> Column:
     return F.abs(a - b) / F.lit(1e6)
 
@@ -22,7 +28,7 @@ def sync_action(video: Column, audio: Column, tolerance_ms: float = TOLERANCE_MS
 
 
 def tick(timestamp_ns: Column, tick_ns: int) -> Column:
-    return F.floor(timestamp_ns / F.lit(tick_ns)).cast("long")
+    return whole(timestamp_ns, tick_ns)
 
 
 def tick_duration_s(buffer: Column, rate: Column) -> Column:
@@ -34,6 +40,6 @@ def latency_budget_ms(priority: Column) -> Column:
     return F.when(priority == "realtime", 10.0).when(priority == "high", 33.0)
 
 
-def expirations(now: Column, start: Column, interval: Column) -> Column:
+def expirations(now: Column, start: Column, interval: int) -> Column:
     """How often a monotonic timer has fired by `now`."""
-    return F.greatest(F.floor((now - start) / interval), F.lit(0)).cast("long")
+    return F.greatest(whole(now - start, interval), F.lit(0).cast("long"))

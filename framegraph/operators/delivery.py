@@ -155,12 +155,66 @@ def within_size(events: DataFrame, encoded: Column, most: int = 8192) -> DataFra
 
 
 def dropped_reports(counters: DataFrame, every_ns: int = 1_000_000_000, at_least: int = 1000) -> DataFrame:
-    """Rows at which drops are reported: some new ones, and a second since the row before or a thousand of them.
+    """Rows at which drops are reported: some new ones since the last report, and that (or the source's first row) the
+    interval ago or at_least of them.
 
-    counters: source, timestamp_ns, dropped (cumulative).
+    counters: source, timestamp_ns, dropped (cumulative). What is reported depends on the last report, so each source is
+    an ordered fold, fed batch by batch.
     """
-    w = Window.partitionBy("source").orderBy("timestamp_ns")
-    new = F.col("dropped") - F.coalesce(F.lag("dropped").over(w), F.lit(0))
-    gap = F.col("timestamp_ns") - F.lag("timestamp_ns").over(w)
-    rows = counters.withColumn("new_drops", new).withColumn("_gap", gap)
-    return rows.where((F.col("new_drops") > 0) & (F.col("_gap").isNull() | (F.col("_gap") >= every_ns) | (F.col("new_drops") >= at_least))).drop("_gap")
+    columns = ["source", "timestamp_ns", "dropped"]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        source, seen, last, started = None, 0, 0, False
+        for batch in batches:
+            new = []
+            for s, t, dropped in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if not started or s != source:
+                    source, seen, last, started = s, 0, t, True
+                drops = dropped - seen
+                report = drops > 0 and (t - last >= every_ns or drops >= at_least)
+                new.append(drops if report else None)
+                if report:
+                    seen, last = dropped, t
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.int64())], names=[*columns, "new_drops"])
+
+    source = dict(counters.dtypes)["source"]
+    rows = counters.select("source", F.col("timestamp_ns").cast("long").alias("timestamp_ns"), F.col("dropped").cast("long").alias("dropped"))
+    told = rows.repartition("source").sortWithinPartitions("source", "timestamp_ns", "dropped").mapInArrow(fold, f"source {source}, timestamp_ns long, dropped long, new_drops long")
+    return told.where("new_drops is not null")
+
+
+def two_level(frames: DataFrame, depth: int, reads: int) -> DataFrame:
+    """Frames that get read, with read_tick: a ring and a mailbox of `depth` each stand between a channel and its reader.
+
+    In each tick that brings frames the ring keeps the newest `depth` of them, what it holds goes into the mailbox, which
+    drops its oldest beyond `depth`, and `reads` frames are taken from there in order. Frames that the ring lets through
+    are numbered, so the mailbox is a range of numbers; only its head is folded, over one row a channel and tick.
+    """
+    w = Window.partitionBy("channel", "tick")
+    ringed = frames.withColumn("_back", F.row_number().over(w.orderBy(F.desc("seq")))).where(F.col("_back") <= depth).drop("_back")
+    ticks = ringed.groupBy("channel", "tick").agg(F.count("*").alias("came"))
+    channel = dict(frames.dtypes)["channel"]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        name, came, head, started = None, 0, 0, False
+        for batch in batches:
+            first, end, before = [], [], []
+            for c, n in zip(batch.column("channel").to_pylist(), batch.column("came").to_pylist(), strict=True):
+                if not started or c != name:
+                    name, came, head, started = c, 0, 0, True
+                before.append(came)
+                came += n
+                head = max(head, came - depth)
+                first.append(head)
+                head = min(came, head + reads)
+                end.append(head)
+            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("tick"), *(pa.array(x, pa.int64()) for x in (before, first, end))], names=["channel", "tick", "before", "first", "end"])
+
+    spans = ticks.repartition("channel").sortWithinPartitions("channel", "tick").mapInArrow(fold, f"channel {channel}, tick long, before long, first long, end long")
+    taken = spans.where("first < end").select("channel", F.col("tick").alias("read_tick"), F.explode(F.sequence("first", F.col("end") - 1)).alias("_e"))
+    entered = ringed.withColumn("_place", F.row_number().over(w.orderBy("seq")) - 1).join(spans.select("channel", "tick", "before"), ["channel", "tick"]).withColumn("_e", F.col("before") + F.col("_place"))
+    return entered.join(taken, ["channel", "_e"]).drop("_e", "_place", "before")

@@ -180,33 +180,39 @@ def violations(processors: DataFrame, connections: DataFrame, registry: DataFram
 
 
 def display_names(rows: DataFrame, name: str = "display_name") -> DataFrame:
-    """shown: the first of a name (by ord, which tells rows apart) keeps it, the k-th gets ` k`.
+    """shown: the name where nobody has it when the row's turn (by ord, then id) comes, else with the first free of ` 2`, ` 3`, ...
 
-    Correct where no given name ends in such a number: `display_names_skipping` settles those.
+    Only names of one stem (the name without trailing numbers) can collide. A stem of one name is numbered in buckets,
+    however often the name occurs; a stem of several names is an ordered fold that keeps the next number to try per name.
     """
-    shown = numbered(rows, name, "ord", "_k").withColumn("shown", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(name, F.lit(" "), (F.col("_k") + 1).cast("string"))))
-    return shown.drop("_k")
-
-
-def display_names_skipping(rows: DataFrame, name: str = "display_name") -> DataFrame:
-    """As display_names, but a suffix that is taken when the row's turn comes is skipped.
-
-    Rows whose names share a stem (the name without trailing ` k`) can collide; each stem is an ordered fold.
-    """
-
-    def fold(pdf):
-        used, shown = set(), []
-        for wanted in pdf.sort_values(["ord", "id"])[name]:
-            got, k = wanted, 2
-            while got in used:
-                got, k = f"{wanted} {k}", k + 1
-            used.add(got)
-            shown.append(got)
-        return pdf.sort_values(["ord", "id"]).assign(shown=shown).drop(columns="_stem")
-
     stem = rows.withColumn("_stem", F.regexp_replace(name, r"( [0-9]+)+$", ""))
-    schema = rows.withColumn("shown", F.lit("")).schema
-    return stem.groupBy("_stem").applyInPandas(fold, schema)
+    mixed = stem.groupBy("_stem").agg((F.min(name) != F.max(name)).alias("_mixed"))
+    stem = stem.join(mixed, stem["_stem"].eqNullSafe(mixed["_stem"])).drop(mixed["_stem"])
+    columns = stem.drop("_mixed").columns
+    at = [columns.index(c) for c in ("_stem", name)]
+
+    def fold(batches):
+        import pyarrow as pa
+
+        stem, used, following = None, set(), {}
+        for batch in batches:
+            shown = []
+            for s, wanted in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+                if s != stem:
+                    stem, used, following = s, set(), {}
+                got, k = wanted, following.get(wanted, 2)
+                while got in used:
+                    got, k = f"{wanted} {k}", k + 1
+                following[wanted] = k
+                used.add(got)
+                shown.append(got)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shown, pa.string())], names=[*columns, "shown"])
+
+    one = numbered(stem.where("_mixed is null or not _mixed"), name, "ord", "_k", by=["ord", "id"])
+    one = one.withColumn("shown", F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(name, F.lit(" "), (F.col("_k") + 1).cast("string"))))
+    several = stem.where("_mixed").drop("_mixed").repartition("_stem").sortWithinPartitions("_stem", "ord", "id")
+    folded = several.mapInArrow(fold, several.withColumn("shown", F.lit("")).schema)
+    return one.drop("_k", "_mixed", "_stem").unionByName(folded.drop("_stem"))
 
 
 def snapshot_aliases(rows: DataFrame) -> DataFrame:

@@ -45,12 +45,20 @@ def filter_logs(logs: DataFrame, processor=None, pipeline=None, gpu=False, floor
     return logs.where("intercepted") if intercepted else logs
 
 
-def pick_format(formats: DataFrame, max_w: int, max_h: int) -> DataFrame:
-    """The capture format per device: NV12 before YUYV, the largest area within the cap, the first listed of equals.
+def pick_format(formats: DataFrame, current: DataFrame, max_w: int, max_h: int) -> DataFrame:
+    """The capture format per device: NV12 in its largest area within the cap (the first listed of equals), else YUYV in
+    its, else YUYV in the device's current size. Devices that list neither format are missing.
 
-    formats: device, format, width, height, ord. Devices without a fitting NV12 or YUYV size are missing.
+    formats: device, format, stepwise, width, height, ord; a stepwise range gives its largest size, which is clamped to
+    the cap, other sizes beyond it are left out. current: device, width, height.
     """
     rank = F.when(F.col("format") == "NV12", 0).when(F.col("format") == "YUYV", 1)
-    fits = formats.where(rank.isNotNull() & (F.col("width") <= max_w) & (F.col("height") <= max_h))
-    best = F.min_by(F.struct("format", "width", "height"), F.struct(rank, -(F.col("width").cast("long") * F.col("height")), "ord"))
-    return fits.groupBy("device").agg(best.alias("x")).select("device", "x.*")
+    clamp = lambda c, most: F.when(F.col("stepwise"), F.least(c, F.lit(most))).otherwise(F.col(c))
+    sized = formats.where(rank.isNotNull()).withColumn("width", clamp("width", max_w)).withColumn("height", clamp("height", max_h))
+    area = F.col("width").cast("long") * F.col("height")
+    fits = (F.col("width") <= max_w) & (F.col("height") <= max_h) & (area > 0)
+    best = F.min_by(F.when(fits, F.struct("format", "width", "height")), F.when(fits, F.struct(rank, -area, "ord")))
+    picked = sized.groupBy("device").agg(best.alias("x"))
+    size = current.select("device", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    own = lambda c, other: F.coalesce(F.col(f"x.{c}"), other).alias(c)
+    return picked.join(size, "device", "left").select("device", own("format", F.lit("YUYV")), own("width", F.col("_w")), own("height", F.col("_h")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.timing import whole
 from .running import numbered
 
 
@@ -31,8 +32,8 @@ def interval_pairs(left: DataFrame, right: DataFrame, tolerance_ns: int) -> Data
     Timestamps fall into buckets as wide as the tolerance; the right side goes to its bucket and both neighbours, so the
     join is an equi-join on the bucket with a filter.
     """
-    l_ = left.select(F.col("seq").alias("l_seq"), F.col("timestamp_ns").alias("l_ts"), F.floor(F.col("timestamp_ns") / tolerance_ns).cast("long").alias("bucket"))
-    near = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("timestamp_ns") / tolerance_ns).cast("long") + d))
+    l_ = left.select(F.col("seq").alias("l_seq"), F.col("timestamp_ns").alias("l_ts"), whole(F.col("timestamp_ns"), max(tolerance_ns, 1)).alias("bucket"))
+    near = F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: whole(F.col("timestamp_ns"), max(tolerance_ns, 1)) + d))
     r_ = right.select(F.col("seq").alias("r_seq"), F.col("timestamp_ns").alias("r_ts"), near.alias("bucket"))
     return l_.join(r_, "bucket").where(F.abs(F.col("l_ts") - F.col("r_ts")) <= tolerance_ns).drop("bucket")
 
@@ -44,7 +45,7 @@ def asof(left: DataFrame, right: DataFrame, bucket_ns: int, value: str = "seq")
     row before its bucket's first right row takes the last one of the buckets before, which a window over one row a
     bucket carries on. No window spans the streams.
     """
-    tag = lambda df, side: df.select(F.col("timestamp_ns").alias("t"), F.col("seq"), F.lit(side).alias("side"), (F.col(value) if side == 0 else F.lit(None)).cast("long").alias("v"), F.floor(F.col("timestamp_ns") / bucket_ns).cast("long").alias("b"))
+    tag = lambda df, side: df.select(F.col("timestamp_ns").alias("t"), F.col("seq"), F.lit(side).alias("side"), (F.col(value) if side == 0 else F.lit(None)).cast("long").alias("v"), whole(F.col("timestamp_ns"), bucket_ns).alias("b"))
     both = tag(right, 0).unionByName(tag(left, 1))
     inside = Window.partitionBy("b").orderBy("t", "side", "seq").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.when(F.col("side") == 0, F.struct(F.col("t").alias("r_ts"), F.col("v").alias("r_v")))

@@ -1,62 +1,84 @@
-"""Stateful sample operators that built-in functions do not express: windowed-sinc resampling and envelopes.
-
-Each stream is one ordered fold, fed in batches: a shuffle by stream with sorted partitions; state between batches is a
-few samples or one level, and no stream is held whole.
-"""
+"""Resampling of sample streams, conversion between formats, and envelopes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Half the taps, by quality.
-TAPS = {"low": 8, "medium": 16, "high": 32}
+from ..functions.audio import TAPS, convert_channels, sinc_kernel
+from ..functions.timing import whole
+from .running import running_sum
+from .samples import format_sessions, rechunk
 
+#: Samples of a chunk from which frames take what lies before them.
+CHUNK = 512
 
-class _Sinc:
-    """A stream's resampler: keeps the samples that later outputs still need."""
 
-    def __init__(self, ratio: float, half: int):
-        self.ratio, self.half, self.cut = ratio, half, min(1.0, ratio)
-        self.held, self.at, self.next = np.zeros(half), -half, 0  # held[0] is sample number `at`
+def resample(frames: DataFrame, source_rate: int, target_rate: int, quality: str = "medium", channels: int = 1) -> DataFrame:
+    """Each frame (stream, seq, timestamp_ns, interleaved samples) at the other rate: what the filter can give once it
+    has come, from the stream's samples so far, silence before the first.
 
-    def feed(self, samples: np.ndarray, last: bool = False) -> np.ndarray:
-        self.held = np.concatenate([self.held, samples, np.zeros(self.half if last else 0)])
-        end = self.at + len(self.held)
-        n = max(0, int(np.floor((end - self.half - 1e-9) * self.ratio)) + 1 - self.next)
-        centre = (self.next + np.arange(n)) / self.ratio
-        base = np.floor(centre).astype(int)
-        k = base[:, None] + np.arange(1 - self.half, self.half + 1)
-        d = centre[:, None] - k
-        window = 0.5 + 0.5 * np.cos(np.pi * np.clip(d / self.half, -1, 1))
-        weight = self.cut * np.sinc(self.cut * d) * window
-        out = (self.held[np.clip(k - self.at, 0, len(self.held) - 1)] * weight).sum(1)
-        self.next += n
-        drop = max(0, int(np.floor(self.next / self.ratio)) - self.half - self.at)
-        self.held, self.at = self.held[drop:], self.at + drop
-        return out
+    The last half filter of a stream, which no later sample completes, is not given. An output depends on samples around
+    its place alone, so there is no state: frames get their place by running sums, and take the samples that they need
+    from chunks of the stream by an equi-join; a hot stream is spread like any other.
+    """
+    half = TAPS[quality]
+    rows = frames.select("stream", "seq", "timestamp_ns", F.col("samples").cast("array<double>").alias("samples"))
+    if source_rate == target_rate:
+        return rows
+    size = whole(F.size("samples").cast("long"), channels)
+    placed = running_sum(rows, "stream", size, out="_a", inclusive=False).withColumn("_b", F.col("_a") + size)
+    # outputs before sample number x is there: those whose place is before x - half
+    given = lambda x: F.greatest(whole((x - half) * target_rate + (source_rate - 1), source_rate), F.lit(0).cast("long"))
+    asked = placed.select("stream", "seq", "timestamp_ns", given(F.col("_a")).alias("_from"), given(F.col("_b")).alias("_to"), F.greatest(F.col("_a") - 2 * half, F.lit(0)).alias("_lo"), F.col("_b").alias("_hi"))
+    silent = asked.where("_from >= _to").select("stream", "seq", "timestamp_ns", F.array().cast("array<double>").alias("samples"))
+    asked = asked.where("_from < _to")
+    chunks = rechunk(rows, CHUNK * channels, keep_tail=True).select("stream", "chunk", F.col("samples").alias("_held"))
+    parts = asked.withColumn("chunk", F.explode(F.sequence(whole(F.col("_lo"), CHUNK), whole(F.col("_hi") - 1, CHUNK)))).join(chunks, ["stream", "chunk"])
+    first = F.greatest(F.col("_lo") - F.col("chunk") * CHUNK, F.lit(0))
+    last = F.least(F.col("_hi") - F.col("chunk") * CHUNK, F.lit(CHUNK).cast("long"))
+    part = F.slice("_held", (first * channels + 1).cast("int"), ((last - first) * channels).cast("int"))
+    keys = ["stream", "seq", "timestamp_ns", "_from", "_to", "_lo"]
+    gathered = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chunk", part.alias("part")))).alias("_x"))  # a frame and 2 * half samples
+    windows = gathered.select("stream", "seq", "timestamp_ns", "_from", "_to", "_lo", F.flatten("_x.part").alias("_window"))
+    kernel, step, taps = np.array(sinc_kernel(source_rate, target_rate, half)), math.gcd(source_rate, target_rate), np.arange(1 - half, half + 1)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            samples = []
+            for first, end, start, held in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), batch.column(6), strict=True):
+                window = np.concatenate([np.zeros((1, channels)), held.values.to_numpy(zero_copy_only=False).reshape(-1, channels)])
+                at = np.arange(first, end) * source_rate
+                k = (at // target_rate)[:, None] + taps - start
+                near = window[np.where((k >= 0) & (k < len(window) - 1), k + 1, 0)]
+                samples.append(np.einsum("jmc,jm->jc", near, kernel[at % target_rate // step]).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(samples, pa.list_(pa.float64()))], names=["stream", "seq", "timestamp_ns", "samples"])
 
+    return windows.mapInArrow(weigh, silent.schema).unionByName(silent)
 
-def resample(frames: DataFrame, source_rate: int, target_rate: int, quality: str = "medium") -> DataFrame:
-    """Each frame of mono samples at the other rate: what its stream's filter can give once it has come."""
-    ratio, half = target_rate / source_rate, TAPS[quality]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = state = None
-        for batch in batches:
-            out = []
-            for s, samples in zip(batch.column("stream").to_pylist(), batch.column("samples").to_pylist(), strict=True):
-                if state is None or s != stream:
-                    stream, state = s, _Sinc(ratio, half)
-                out.append(state.feed(np.array(samples, float)))
-            yield pa.record_batch([batch.column("stream"), batch.column("seq"), batch.column("timestamp_ns"), pa.array(out, pa.list_(pa.float64()))], names=["stream", "seq", "timestamp_ns", "samples"])
-
-    rows = frames.select(F.col("stream").cast("long").alias("stream"), "seq", "timestamp_ns", "samples")
-    return rows.repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(run, "stream long, seq long, timestamp_ns long, samples array<double>")
+def convert(frames: DataFrame, formats: list[tuple[int, int]], channels: int, rate: int, size: int | None = None) -> DataFrame:
+    """Streams in one format: channels first, then the rate, then chunks of `size` samples a channel.
+
+    frames: stream, seq, timestamp_ns, samples, rate, channels; formats: the (rate, channels) that occur. A stream that
+    changes its format starts anew: session counts the changes, and each session is resampled and chunked by itself.
+    Gives stream, session, seq (or chunk), timestamp_ns, samples.
+    """
+    split = format_sessions(frames, "rate", "channels").withColumn("stream", F.struct("stream", "session"))
+    parts = []
+    for r, c in formats:
+        own = split.where((F.col("rate") == r) & (F.col("channels") == c)).withColumn("samples", convert_channels(F.col("samples"), c, channels))
+        parts.append(resample(own, r, rate, channels=channels))
+    out = reduce(DataFrame.unionByName, parts)
+    out = out if size is None else rechunk(out, size * channels)
+    rest = [x for x in out.columns if x != "stream"]
+    return out.select(F.col("stream.stream").alias("stream"), F.col("stream.session").alias("session"), *rest)
 
 
 def envelope(gates: DataFrame, attack_s: float = 600.0, decay_s: float = 1200.0, sustain: float = 0.6, release_s: float = 1800.0) -> DataFrame:

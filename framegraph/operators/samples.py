@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .running import running_sum
+from .running import running_last, running_sum
 
 
 def rechunk(frames: DataFrame, size: int, keep_tail: bool = False) -> DataFrame:
@@ -29,12 +28,11 @@ def rechunk(frames: DataFrame, size: int, keep_tail: bool = False) -> DataFrame:
 
 def format_sessions(frames: DataFrame, *fmt: str) -> DataFrame:
     """session: counts the changes of a stream's format so far; converters start anew with each."""
-    w = Window.partitionBy("stream").orderBy("seq")
+    told = running_last(frames.withColumn("_fmt", F.struct(*fmt)), "stream", "_fmt", out="_before", inclusive=False)
     changed = F.lit(False)
     for c in fmt:
-        changed = changed | (F.col(c) != F.lag(c).over(w))
-    flag = frames.withColumn("_new", F.coalesce(changed, F.lit(False)).cast("int"))
-    return flag.withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+        changed = changed | F.coalesce(F.col(c) != F.col("_before")[c], F.lit(False))
+    return running_sum(told, "stream", changed.cast("int"), out="session").drop("_fmt", "_before")
 
 
 def matching_first(frames: DataFrame, *fmt: str) -> DataFrame:
@@ -53,11 +51,14 @@ def psnr_planes(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.select(*keys, psnr(plane_mse(F.col("src"), F.col("recon")), F.size("src")).alias("psnr"))
 
 
-def automate(times: DataFrame, modulators: DataFrame) -> DataFrame:
+def automate(times: DataFrame, modulators: DataFrame, slot: float = 1.0) -> DataFrame:
     """(t, param_id, value): per parameter the last-added modulator active at t, a ramp from lo to hi over its span.
 
-    modulators: param_id, start, end, lo, hi, ord.
+    modulators: param_id, start, end, lo, hi, ord. Time is cut into slots of `slot`; a modulator goes to all slots that it
+    covers, so that times meet modulators on equal slots.
     """
-    active = times.join(modulators, (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    at = lambda c: F.floor(F.col(c) / F.lit(float(slot))).cast("long")
+    spread = modulators.where("start < end").withColumn("_slot", F.explode(F.sequence(at("start"), at("end"))))
+    active = times.withColumn("_slot", at("t")).join(spread, "_slot").where((F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
     value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("t") - F.col("start")) / (F.col("end") - F.col("start"))
     return active.groupBy("t", "param_id").agg(F.max_by(value, "ord").alias("value"))

@@ -96,23 +96,45 @@ def ar_rechunk_single(spark, sf):
     return out.select("stream", "chunk", F.row_number().over(Window.partitionBy("stream", "timestamp_ns").orderBy("chunk")).alias("call"))
 
 
-@query("ar_convert_pipeline", W + """, mono AS (SELECT stream, seq, timestamp_ns, list_transform(range(0, len(samples) // 2), lambda i: (samples[i * 2 + 1] + samples[i * 2 + 2]) / 2.0) AS samples FROM a),
-o AS (SELECT stream, seq, timestamp_ns, v, row_number() OVER (PARTITION BY stream ORDER BY seq, i) - 1 AS n FROM mono, unnest(samples) WITH ORDINALITY AS u(v, i)),
+#: Weight of tap m of a sample whose place lies `part` after a whole one, 32 taps, from a lower to a higher rate.
+TAP = "(CASE WHEN part - m = 0 THEN 1.0::DOUBLE ELSE sin(pi() * (part - m)) / (pi() * (part - m)) END * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() / 16 * (part - m))))"
+#: From frames fr(stream, seq, timestamp_ns, samples) of mono samples at 32 kHz to rs at 48 kHz; outputs wait for 16 samples.
+RESAMPLED = f"""pl AS (SELECT *, CAST(coalesce(sum(len(samples)) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a FROM fr),
+sm AS (SELECT stream, a + i - 1 AS n, v FROM pl, unnest(samples) WITH ORDINALITY AS u(v, i)),
+ask AS (SELECT stream, seq, timestamp_ns, CASE WHEN a > 16 THEN ((a - 16) * 48000 + 31999) // 32000 ELSE 0 END AS f, CASE WHEN a + len(samples) > 16 THEN ((a + len(samples) - 16) * 48000 + 31999) // 32000 ELSE 0 END AS t FROM pl),
+j AS (SELECT stream, seq, j, j * 32000 // 48000 AS base, (j * 32000 % 48000) / 48000.0::DOUBLE AS part FROM ask, unnest(range(f, t)) AS u(j)),
+y AS (SELECT j.stream, seq, j, sum(coalesce(v, 0.0::DOUBLE) * {TAP}) AS y FROM j, range(-15, 17) r(m) LEFT JOIN sm ON sm.stream = j.stream AND sm.n = base + m GROUP BY ALL),
+yl AS (SELECT stream, seq, list(y ORDER BY j) AS y FROM y GROUP BY ALL),
+rs AS (SELECT stream, seq, timestamp_ns, coalesce(y, []) AS samples FROM ask LEFT JOIN yl USING (stream, seq))"""
+
+
+@query("ar_convert_pipeline", W + """, src AS (SELECT stream, seq, timestamp_ns, samples, (seq // 150) % 2 AS kind FROM a),
+ch AS (SELECT *, coalesce(kind <> lag(kind) OVER (PARTITION BY stream ORDER BY seq), false) AS new FROM src),
+se AS (SELECT *, CAST(sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM ch),
+mono AS (SELECT {'s': stream, 'n': session} AS stream, seq, timestamp_ns, kind, CASE kind WHEN 0 THEN list_transform(range(0, len(samples) // 2), lambda i: (samples[i * 2 + 1] + samples[i * 2 + 2]) / 2.0) ELSE list_transform(range(0, len(samples) // 4), lambda i: (samples[i * 4 + 1] + samples[i * 4 + 2] + samples[i * 4 + 3] + samples[i * 4 + 4]) / 4.0) END AS samples FROM se),
+fr AS (SELECT stream, seq, timestamp_ns, samples FROM mono WHERE kind = 0), """ + RESAMPLED + """,
+al AS (SELECT * FROM rs UNION ALL SELECT stream, seq, timestamp_ns, samples FROM mono WHERE kind = 1),
+o AS (SELECT stream, seq, timestamp_ns, v, row_number() OVER (PARTITION BY stream ORDER BY seq, i) - 1 AS n FROM al, unnest(samples) WITH ORDINALITY AS u(v, i)),
 c AS (SELECT stream, n // 48 AS chunk, list(v ORDER BY n) AS y, arg_max(timestamp_ns, n) AS timestamp_ns FROM o GROUP BY ALL)
-SELECT stream, CAST(chunk AS BIGINT) AS chunk, timestamp_ns, """ + summary("y") + " FROM c WHERE len(y) = 48")
+SELECT stream.s AS stream, stream.n AS session, CAST(chunk AS BIGINT) AS chunk, timestamp_ns, """ + summary("y") + " FROM c WHERE len(y) = 48")
 def ar_convert_pipeline(spark, sf):
-    mono = audio(spark, sf).withColumn("samples", a.convert_channels(F.col("samples"), 2, 1))
-    return s.rechunk(mono, 48).select("stream", "chunk", "timestamp_ns", *_summary("samples"))
+    """Streams that change between two channels at 32 kHz and four at 48 kHz, to mono chunks at 48 kHz."""
+    from ..operators.resample import convert
 
+    kind = F.floor(F.col("seq") / 150) % 2
+    rows = audio(spark, sf).withColumn("rate", F.when(kind == 0, 32_000).otherwise(48_000)).withColumn("channels", F.when(kind == 0, 2).otherwise(4))
+    out = convert(rows, [(32_000, 2), (48_000, 4)], 1, 48_000, 48)
+    return out.select("stream", "session", "chunk", "timestamp_ns", *_summary("samples"))
 
-@query("ar_resample_frame", W + ", y AS (SELECT seq, list_transform(range(0, CAST(floor(len(samples) * 3 / 2) AS BIGINT)), lambda i: samples[CAST(floor(i * (2 / 3)) AS BIGINT) + 1] + (samples[least(CAST(floor(i * (2 / 3)) AS BIGINT) + 2, len(samples))] - samples[CAST(floor(i * (2 / 3)) AS BIGINT) + 1]) * (i * (2 / 3) - floor(i * (2 / 3)))) AS y FROM a) SELECT seq, " + summary("y") + " FROM y")
+
+@query("ar_resample_frame", W + ", y AS (SELECT seq, list_transform(range(0, len(samples) * 48000 // 32000), lambda j: list_sum(list_transform(range(-15, 17), lambda m: CASE WHEN j * 32000 // 48000 + m BETWEEN 0 AND len(samples) - 1 THEN samples[j * 32000 // 48000 + m + 1] ELSE 0.0 END * " + TAP.replace("part", "(j * 32000 % 48000) / 48000.0::DOUBLE") + "))) AS y FROM a) SELECT seq, " + summary("y") + " FROM y")
 def ar_resample_frame(spark, sf):
-    return audio(spark, sf).select("seq", a.resample_linear(F.col("samples"), 32_000, 48_000).alias("y")).select("seq", *_summary("y"))
+    return audio(spark, sf).select("seq", a.resample_frame(F.col("samples"), 32_000, 48_000).alias("y")).select("seq", *_summary("y"))
 
 
-@query("ar_resample")
+@query("ar_resample", W + ", fr AS (SELECT * FROM a), " + RESAMPLED + " SELECT stream, seq, " + summary("samples") + " FROM rs")
 def ar_resample(spark, sf):
-    """Windowed-sinc resampling of whole streams; no SQL counterpart."""
+    """Windowed-sinc resampling of whole streams."""
     from ..operators.resample import resample
 
     return resample(audio(spark, sf), 32_000, 48_000).select("stream", "seq", *_summary("samples"))
@@ -219,7 +241,21 @@ def agg_channel_mean(spark, sf):
     return m.select("stream", F.round("mean", 9).alias("mean"), (F.abs(F.col("mean") - 0.002) <= 0.005).alias("ok"))
 
 
-@query("ar_adsr")
+#: One sample of a stream after the other: (stage, since) before it, its level, and what comes next.
+ENVELOPE = """WITH RECURSIVE g AS (SELECT user_id AS stream, epoch_us(ts) AS t, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false END AS up FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY t, CASE WHEN up IS NULL THEN 0 WHEN up THEN 2 ELSE 1 END) AS r FROM g),
+w AS (SELECT stream, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS t, 'idle' AS stage, CAST(0 AS BIGINT) AS since, 0.0::DOUBLE AS level FROM (SELECT DISTINCT stream FROM o)
+  UNION ALL
+  SELECT stream, r, t, CASE WHEN share >= 1 THEN CASE now WHEN 'attack' THEN 'decay' WHEN 'decay' THEN 'sustain' WHEN 'release' THEN 'idle' ELSE now END ELSE now END,
+         CASE WHEN share >= 1 AND now IN ('attack', 'decay', 'release') THEN t ELSE began END,
+         CASE now WHEN 'attack' THEN least(share, 1) WHEN 'decay' THEN CASE WHEN share >= 1 THEN 0.6 ELSE 1 - 0.4 * share END WHEN 'release' THEN CASE WHEN share >= 1 THEN 0 ELSE 0.6 * (1 - share) END WHEN 'sustain' THEN 0.6 ELSE 0 END
+  FROM (SELECT *, (t - began) / 1e6 / CASE now WHEN 'attack' THEN 600.0::DOUBLE WHEN 'decay' THEN 1200 WHEN 'release' THEN 1800 ELSE 1e18 END AS share
+        FROM (SELECT o.stream, o.r, o.t, CASE WHEN up THEN 'attack' WHEN NOT up AND w.stage <> 'idle' THEN 'release' ELSE w.stage END AS now,
+                     CASE WHEN up OR (NOT up AND w.stage <> 'idle') THEN o.t ELSE w.since END AS began FROM w JOIN o ON o.stream = w.stream AND o.r = w.r + 1)))
+SELECT stream, t AS t_us, round(level, 6) AS level FROM w WHERE r > 0"""
+
+
+@query("ar_adsr", ENVELOPE)
 def ar_adsr(spark, sf):
     from ..operators.resample import envelope
 

@@ -64,12 +64,12 @@ def st_clock_tick(spark, sf):
     return spark.range(1000).select(F.col("id").alias("tick_number"), (F.col("id") * 10666666).alias("timestamp_ns"), F.lit(512).alias("samples_needed"), F.lit(48000).alias("sample_rate"))
 
 
-@query("st_timer", W + "SELECT seq, CAST(greatest(floor((timestamp_ns - (SELECT min(timestamp_ns) FROM f)) / 5000000000.0), 0) AS BIGINT) AS expired FROM f")
+@query("st_timer", W + "SELECT seq, greatest((timestamp_ns - (SELECT min(timestamp_ns) FROM f)) // 5000000000, 0) AS expired FROM f")
 def st_timer(spark, sf):
     from ..functions.timing import expirations
 
     f = frames(spark, sf)
-    return f.join(F.broadcast(f.agg(F.min("timestamp_ns").alias("t0")))).select("seq", expirations(F.col("timestamp_ns"), F.col("t0"), F.lit(5_000_000_000.0)).alias("expired"))  # one row
+    return f.join(F.broadcast(f.agg(F.min("timestamp_ns").alias("t0")))).select("seq", expirations(F.col("timestamp_ns"), F.col("t0"), 5_000_000_000).alias("expired"))  # one row
 
 
 @query("src_tap", W + "SELECT seq, payload FROM f WHERE channel = 'view' ORDER BY timestamp_ns, seq LIMIT 8")
@@ -189,17 +189,32 @@ def snk_frame_tap(spark, sf):
     return d.evict(_files(spark, sf), 6, 800_000).where("kept").groupBy("dir").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-@query("agg_dropped_logs", W + """, c AS (SELECT user_id AS source, timestamp_ns, sum(CASE WHEN channel = 'error' THEN 40 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY timestamp_ns, seq ROWS UNBOUNDED PRECEDING) AS dropped FROM f),
-n AS (SELECT *, dropped - coalesce(lag(dropped) OVER w, 0) AS new_drops, timestamp_ns - lag(timestamp_ns) OVER w AS gap FROM c WINDOW w AS (PARTITION BY source ORDER BY timestamp_ns))
-SELECT source, timestamp_ns, CAST(new_drops AS BIGINT) AS new_drops FROM n WHERE new_drops > 0 AND (gap IS NULL OR gap >= 86400000000000 OR new_drops >= 1000)""")
+@query("agg_dropped_logs", "WITH RECURSIVE " + FR + """, c AS (SELECT user_id AS source, timestamp_ns, CAST(sum(CASE WHEN channel = 'error' THEN 40 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY timestamp_ns, seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS dropped FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY timestamp_ns, dropped) AS r FROM c),
+w AS (SELECT source, CAST(0 AS BIGINT) AS r, timestamp_ns, CAST(0 AS BIGINT) AS seen, timestamp_ns AS last, CAST(0 AS BIGINT) AS new_drops FROM o WHERE r = 1
+  UNION ALL
+  SELECT source, r, timestamp_ns, CASE WHEN told THEN dropped ELSE seen END, CASE WHEN told THEN timestamp_ns ELSE last END, CASE WHEN told THEN dropped - seen ELSE 0 END
+  FROM (SELECT o.source, o.r, o.timestamp_ns, o.dropped, w.seen, w.last, o.dropped > w.seen AND (o.timestamp_ns - w.last >= 86400000000000 OR o.dropped - w.seen >= 1000) AS told FROM w JOIN o ON o.source = w.source AND o.r = w.r + 1))
+SELECT source, timestamp_ns, new_drops FROM w WHERE new_drops > 0""")
 def agg_dropped_logs(spark, sf):
-    from pyspark.sql.window import Window
+    from ..operators.running import running_sum
 
-    w = Window.partitionBy("user_id").orderBy("timestamp_ns", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    c = frames(spark, sf).select(F.col("user_id").alias("source"), "timestamp_ns", F.sum(F.when(F.col("channel") == "error", 40).otherwise(0)).over(w).alias("dropped"))
+    f = frames(spark, sf).select(F.col("user_id").alias("source"), "timestamp_ns", "channel", "seq")
+    # cumulative in the order of (timestamp_ns, seq), a day a bucket
+    c = running_sum(f, "source", F.when(F.col("channel") == "error", 40).otherwise(0), "timestamp_ns", "dropped", width=86_400_000_000_000, by=["timestamp_ns", "seq"])
     return d.dropped_reports(c, 86_400_000_000_000).select("source", "timestamp_ns", "new_drops")
 
 
+@query("st_ring_two_level", "WITH RECURSIVE " + FR + """, k AS (SELECT channel, seq, tick, row_number() OVER (PARTITION BY channel, tick ORDER BY seq DESC) AS back FROM f),
+e AS (SELECT channel, seq, tick, row_number() OVER (PARTITION BY channel ORDER BY tick, seq) - 1 AS e FROM k WHERE back <= 3),
+t AS (SELECT channel, tick, max(e) + 1 AS came, row_number() OVER (PARTITION BY channel ORDER BY tick) AS r FROM e GROUP BY channel, tick),
+w AS (SELECT channel, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS tick, CAST(0 AS BIGINT) AS head, CAST(0 AS BIGINT) AS stop FROM t WHERE r = 1
+  UNION ALL SELECT t.channel, t.r, t.tick, greatest(w.stop, t.came - 3), least(t.came, greatest(w.stop, t.came - 3) + 2) FROM w JOIN t ON t.channel = w.channel AND t.r = w.r + 1)
+SELECT e.channel, e.seq, e.tick, w.tick AS read_tick FROM e JOIN w ON w.channel = e.channel AND w.r > 0 AND e.e >= w.head AND e.e < w.stop""")
+def st_ring_two_level(spark, sf):
+    return d.two_level(frames(spark, sf).select(*COLS), 3, 2)
+
+
 @query("set_fanin", W + "SELECT seq, channel, payload FROM f WHERE channel = 'view' UNION ALL SELECT seq, channel, NULL FROM f WHERE channel = 'click'")
 def set_fanin(spark, sf):
     f = frames(spark, sf)

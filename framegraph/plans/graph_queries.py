@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators.graph import Graph
-from ..sources.snapshot import export_json, read_snapshot
+from ..sources.scratch import folder as scratch_folder
+from ..sources.snapshot import export_lines, read_snapshot
 from ..sources.tables import L, P, links, processors, with_
 from .catalog import query
 
@@ -129,10 +130,20 @@ def win_display_name(spark, sf):
     return g.display_names(processors(spark, sf), "type").select("id", "shown")
 
 
-@query("win_display_name_skipping")
+#: Names of a stem one after the other; with each the names that are taken by then.
+TAKEN = "WITH RECURSIVE " + P + """, o AS (SELECT id, 'S' || (ord % 200) AS stem, 'S' || (ord % 200) || CASE WHEN ord % 7 = 0 THEN ' 2' WHEN ord % 11 = 0 THEN ' 3' ELSE '' END AS name, row_number() OVER (PARTITION BY ord % 200 ORDER BY ord, id) AS r FROM p),
+w AS (SELECT stem, r, id, name AS shown, [name] AS used FROM o WHERE r = 1
+  UNION ALL SELECT stem, r, id, shown, list_append(used, shown)
+  FROM (SELECT o.stem, o.r, o.id, w.used, CASE WHEN list_contains(w.used, o.name) THEN o.name || ' ' || list_min(list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, o.name || ' ' || k))) ELSE o.name END AS shown FROM w JOIN o ON o.stem = w.stem AND o.r = w.r + 1))
+SELECT id, shown FROM w"""
+
+
+@query("win_display_name_skipping", TAKEN)
 def win_display_name_skipping(spark, sf):
-    p = processors(spark, sf).where("type in ('Nation', 'Supplier')").withColumn("display_name", F.concat(F.lit("N "), (F.col("ord") % 3).cast("string")))
-    return g.display_names_skipping(p).select("id", "shown")
+    """Names of which some have the suffix that another one's repeats would get."""
+    k = F.col("ord")
+    wanted = F.concat(F.lit("S"), (k % 200).cast("string"), F.when(k % 7 == 0, " 2").when(k % 11 == 0, " 3").otherwise(""))
+    return g.display_names(processors(spark, sf).withColumn("display_name", wanted)).select("id", "shown")
 
 
 @query("win_snapshot_alias", PL + ", n AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ord, id) AS k FROM p) SELECT id, lower(type[1]) || type[2:] || CASE WHEN k > 1 THEN '_' || k ELSE '' END AS alias, nullif(display_name, type) AS shown FROM n")
@@ -284,11 +295,13 @@ def mut_pause_all(spark, sf):
     return gr.update(gr.v().filter(F.col("state") == "Running").rows, "state", F.lit("Paused")).processors.select("id", "state")
 
 
-@query("src_graph_export", PL + "SELECT (SELECT count(*) FROM p WHERE type IN ('Region', 'Nation')) AS nodes, (SELECT count(*) FROM l WHERE src_id LIKE 'Nation/%') AS links")
+@query("src_graph_export", PL + "SELECT 'node' AS kind, id, type AS what, CAST(NULL AS VARCHAR) AS src_id FROM p UNION ALL SELECT 'link', id, state, src_id FROM l")
 def src_graph_export(spark, sf):
-    small = Graph(processors(spark, sf).where("type in ('Region', 'Nation')"), links(spark, sf).where("src_id like 'Nation/%'"))
-    back = export_json(small).select(F.from_json("graph", "nodes array<struct<id:string,type:string>>, links array<struct<id:string>>").alias("g"))
-    return back.select(F.size("g.nodes").cast("long").alias("nodes"), F.size("g.links").cast("long").alias("links"))
+    """The whole graph as JSON lines, one per processor and link, written and read back."""
+    to = scratch_folder(spark)
+    export_lines(graph(spark, sf)).write.text(to)
+    back = spark.read.text(to).select(F.from_json("value", "kind string, id string, type string, state string, src_id string").alias("x"))
+    return back.select("x.kind", "x.id", F.coalesce("x.type", "x.state").alias("what"), "x.src_id")
 
 
 SNAPSHOT = '{"name":"t","processors":[{"alias":"camera","type":"Camera","config":{"w":640},"display_name":"Cam"},{"alias":"view","type":"Display","config":{}}],"connections":[{"from":"camera.video","to":"view.video"}]}'
@@ -319,8 +332,11 @@ def snk_snapshot(spark, sf):
     return once.join(twice.withColumnRenamed("value", "again")).select((F.col("value") == F.col("again")).alias("same"))
 
 
-@query("src_registry")
+@query("src_registry", "SELECT name, execution, inputs, outputs, description FROM (VALUES ('framegraph.plans.processors:newest', 'reactive', 'in=latest', 'out', 'the newest frame of each tick'), ('framegraph.plans.processors:rechunked', 'reactive', 'audio=lossless', 'chunks', 'samples in chunks of one size'), ('framegraph.plans.processors:ticks', 'continuous', '', 'out', 'numbered ticks of a clock')) v(name, execution, inputs, outputs, description)")
 def src_registry(spark, sf):
-    from ..plans.registry import registered
+    from . import processors as _  # noqa: F401  registers them
+    from .registry import registered
 
-    return registered(spark)
+    ours = registered(spark).where("name like 'framegraph.plans.processors:%'")
+    ports = F.array_join(F.transform(F.array_sort(F.map_entries("inputs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return ours.select("name", "execution", ports.alias("inputs"), F.array_join("outputs", ",").alias("outputs"), "description")

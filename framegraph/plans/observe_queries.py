@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import observe as o
 from ..sources import files
-from ..sources.tables import FR, LG, L, M, P, frames, links, logs, metrics, processors, with_
+from ..sources.tables import FR, LG, L, M, P, counters, frames, links, logs, metrics, processors, with_
 from .catalog import query
 
 WM, WL = with_(FR, M), with_(FR, LG)
@@ -14,17 +14,17 @@ WM, WL = with_(FR, M), with_(FR, LG)
 
 @query("agg_health", with_(P, L, FR, M) + "SELECT (SELECT count(*) FROM p) AS processor_count, (SELECT count(*) FROM l) AS link_count, CAST(sum(frames_dropped) AS BIGINT) AS frames_dropped, count(*) FILTER (frames_processed > 0 AND frames_dropped > 0.01 * frames_processed) AS bottlenecks, 0 AS error_count FROM m")
 def agg_health(spark, sf):
-    return o.health(processors(spark, sf), links(spark, sf), metrics(spark, sf))
+    return o.health(processors(spark, sf), links(spark, sf), counters(spark, sf))
 
 
 @query("agg_bottlenecks", WM + "SELECT processor_id FROM m WHERE frames_processed > 0 AND frames_dropped > 0.01 * frames_processed")
 def agg_bottlenecks(spark, sf):
-    return o.bottlenecks(metrics(spark, sf))
+    return o.bottlenecks(counters(spark, sf))
 
 
 @query("agg_proc_snapshot", WM + "SELECT processor_id, frames_processed, frames_dropped, 0.0::DOUBLE AS latency_p90_ms, 0.0::DOUBLE AS latency_max_ms FROM m WHERE processor_id = 7")
 def agg_proc_snapshot(spark, sf):
-    return o.processor_snapshot(metrics(spark, sf), 7).select("processor_id", "frames_processed", "frames_dropped", "latency_p90_ms", "latency_max_ms")
+    return o.processor_snapshot(counters(spark, sf), 7).select("processor_id", "frames_processed", "frames_dropped", "latency_p90_ms", "latency_max_ms")
 
 
 @query("agg_latency", WM + "SELECT processor_id, round(latency_p50_ms, 6) AS p50, round(latency_p99_ms, 6) AS p99, round(throughput_fps, 9) AS fps FROM m")
@@ -137,16 +137,21 @@ def src_catalog(spark, sf):
     return files.tracks(docs)
 
 
-FORMATS = "fm AS (SELECT p_partkey % 97 AS device, CASE p_partkey % 3 WHEN 0 THEN 'NV12' WHEN 1 THEN 'YUYV' ELSE 'MJPG' END AS format, 320 + 160 * (p_size % 12) AS width, 240 + 120 * (p_size % 10) AS height, p_partkey AS ord FROM part)"
+FORMATS = """fm AS (SELECT p_partkey % 997 AS device, CASE (p_partkey * 7 + p_size) % 5 WHEN 0 THEN 'NV12' WHEN 1 THEN 'YUYV' ELSE 'MJPG' END AS format, p_size % 4 = 3 AS stepwise, 320 + 160 * (p_size % 12) AS width, 240 + 120 * (p_size % 10) AS height, p_partkey AS ord FROM part),
+cu AS (SELECT device, 640 + 2 * device AS width, 480 AS height FROM fm GROUP BY device)"""
 
 
-@query("srt_format_pick", with_(FORMATS) + """, r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY CASE format WHEN 'NV12' THEN 0 ELSE 1 END, width * height DESC, ord) AS r FROM fm WHERE format IN ('NV12', 'YUYV') AND width <= 1280 AND height <= 720)
-SELECT device, format, width, height FROM r WHERE r = 1""")
+@query("srt_format_pick", with_(FORMATS) + """, s AS (SELECT device, format, CASE WHEN stepwise THEN least(width, 1280) ELSE width END AS width, CASE WHEN stepwise THEN least(height, 720) ELSE height END AS height, ord FROM fm WHERE format IN ('NV12', 'YUYV')),
+r AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY CASE format WHEN 'NV12' THEN 0 ELSE 1 END, width * height DESC, ord) AS r FROM s WHERE width <= 1280 AND height <= 720)
+SELECT device, format, width, height FROM r WHERE r = 1
+UNION ALL SELECT DISTINCT cu.device, 'YUYV', cu.width, cu.height FROM s JOIN cu USING (device) WHERE device NOT IN (SELECT device FROM r)""")
 def srt_format_pick(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
-    fmt = F.when(F.col("p_partkey") % 3 == 0, "NV12").when(F.col("p_partkey") % 3 == 1, "YUYV").otherwise("MJPG")
-    rows = p.select((F.col("p_partkey") % 97).alias("device"), fmt.alias("format"), (320 + 160 * (F.col("p_size") % 12)).alias("width"), (240 + 120 * (F.col("p_size") % 10)).alias("height"), F.col("p_partkey").alias("ord"))
-    return o.pick_format(rows, 1280, 720)
+    kind = (F.col("p_partkey") * 7 + F.col("p_size")) % 5
+    fmt = F.when(kind == 0, "NV12").when(kind == 1, "YUYV").otherwise("MJPG")
+    rows = p.select((F.col("p_partkey") % 997).alias("device"), fmt.alias("format"), (F.col("p_size") % 4 == 3).alias("stepwise"), (320 + 160 * (F.col("p_size") % 12)).alias("width"), (240 + 120 * (F.col("p_size") % 10)).alias("height"), F.col("p_partkey").alias("ord"))
+    current = rows.select("device").distinct().select("device", (640 + 2 * F.col("device")).alias("width"), F.lit(480).alias("height"))
+    return o.pick_format(rows, current, 1280, 720)
 
 
 @query("sc_elapsed", with_(FR) + "SELECT seq, timestamp_ns - min(timestamp_ns) OVER (PARTITION BY channel) AS elapsed_ns FROM f")

@@ -54,8 +54,8 @@ def processor(inputs: dict[str, str] | None = None, outputs: tuple[str, ...] = (
 
 def registered(spark: SparkSession) -> DataFrame:
     """The registry as a table."""
-    rows = [(p.name, p.execution, sorted(p.inputs), list(p.outputs), p.description) for p in _REGISTERED.values()]
-    return spark.createDataFrame(rows, "name string, execution string, inputs array<string>, outputs array<string>, description string")
+    rows = [(p.name, p.execution, p.inputs, list(p.outputs), p.description) for p in _REGISTERED.values()]
+    return spark.createDataFrame(rows, "name string, execution string, inputs map<string,string>, outputs array<string>, description string")
 
 
 @dataclass

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.timing import whole
 from ..sources.tables import FR, P, frames, processors, with_
 from .catalog import query
 
@@ -17,7 +18,7 @@ def sc_profile_resolve(spark, sf):
     return rows.select("name", t.profile(F.col("name")).alias("p")).select("name", "p.drain_order", "p.overflow", "p.depth")
 
 
-@query("sc_execution_default")
+@query("sc_execution_default", "SELECT * FROM (VALUES (1, NULL, 0, 'reactive'), (0, 'manual', 0, 'manual'), (0, NULL, 0, 'error: a processor without inputs must name its execution'), (0, 'continuous', 33, 'continuous'), (0, 'continuous', -1, 'error: the interval of a continuous processor is negative')) v(inputs, execution, interval_ms, result)")
 def sc_execution_default(spark, sf):
     from .registry import execution_of
 
@@ -85,7 +86,7 @@ def sc_format_size(spark, sf):
 
 @query("sc_format_started", with_(FR) + "SELECT seq, strftime(make_timestamp(timestamp_ns // 1000), '%Y-%m-%dT%H:%M:%SZ') AS started FROM f")
 def sc_format_started(spark, sf):
-    return frames(spark, sf).select("seq", t.format_started(F.floor(F.col("timestamp_ns") / 1_000_000).cast("long")).alias("started"))
+    return frames(spark, sf).select("seq", t.format_started(whole(F.col("timestamp_ns"), 1_000_000)).alias("started"))
 
 
 @query("sc_wall_clock", with_(FR) + "SELECT seq, strftime(make_timestamp(timestamp_ns // 1000), '%H:%M:%S.%g') AS clock FROM f")

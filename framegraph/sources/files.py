@@ -63,11 +63,12 @@ def raw_frames(spark: SparkSession, path: str, width: int, height: int) -> DataF
     """(index, pixels) of files of raw 4-byte pixels; an incomplete last frame is left out."""
     stride = width * height * 4
     files = spark.read.format("binaryFile").load(path)
-    count = F.floor(F.octet_length("content") / stride).cast("int")
-    return files.where(count > 0).select("path", F.explode(F.sequence(F.lit(0), count - 1)).alias("index"), "content").select("path", "index", F.expr(f"substring(content, index * {stride} + 1, {stride})").alias("pixels"))
+    cut = F.expr(f"transform(sequence(0, int(length div {stride}) - 1), k -> substring(content, k * {stride} + 1, {stride}))")  # frames, not copies of the file
+    return files.where(F.col("length") >= stride).select("path", F.posexplode(cut).alias("index", "pixels"))
 
 
 def repeat_file(spark: SparkSession, path: str, count: int, fps: float) -> DataFrame:
     """One file sent again and again: seq, timestamp_ns, payload."""
-    file = spark.read.format("binaryFile").load(path).select(F.col("content").alias("payload"))
-    return spark.range(count).select(F.col("id").alias("seq"), (F.col("id") * F.lit(int(1e9 / fps))).alias("timestamp_ns")).join(F.broadcast(file))  # one file, below Spark's row limit
+    file = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    return file.select(every.alias("seq"), F.col("content").alias("payload")).select("seq", (F.col("seq") * F.lit(int(1e9 / fps))).alias("timestamp_ns"), "payload")

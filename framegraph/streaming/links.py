@@ -58,15 +58,14 @@ def zip_ports(left: DataFrame, right: DataFrame) -> DataFrame:
     def pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = [list(x) for x in state.get] if state.exists else [[], [], [], []]
         seqs, stamps = [held[0], held[2]], [held[1], held[3]]
-        out = []
-        for pdf in batches:
-            for side, seq, t in pdf.sort_values("seq")[["side", "seq", "timestamp_ns"]].itertuples(index=False):
-                seqs[side].append(int(seq))
-                stamps[side].append(int(t))
-            n = min(len(seqs[0]), len(seqs[1]))
-            out += [(key[0], a, b, max(s, t)) for a, b, s, t in zip(seqs[0][:n], seqs[1][:n], stamps[0][:n], stamps[1][:n], strict=True)]
-            for k in (0, 1):
-                del seqs[k][:n], stamps[k][:n]
+        # a key's frames of a micro-batch come in several parts, in no order: put together and sorted once
+        for side, seq, t in pd.concat([pdf[["side", "seq", "timestamp_ns"]] for pdf in batches]).sort_values("seq").itertuples(index=False):
+            seqs[side].append(int(seq))
+            stamps[side].append(int(t))
+        n = min(len(seqs[0]), len(seqs[1]))
+        out = [(key[0], a, b, max(s, t)) for a, b, s, t in zip(seqs[0][:n], seqs[1][:n], stamps[0][:n], stamps[1][:n], strict=True)]
+        for k in (0, 1):
+            del seqs[k][:n], stamps[k][:n]
         state.update((seqs[0], stamps[0], seqs[1], stamps[1]))
         yield pd.DataFrame(out, columns=["key", "l_seq", "r_seq", "timestamp_ns"])
 
@@ -80,12 +79,11 @@ def rechunk(frames: DataFrame, size: int) -> DataFrame:
     def cut(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, chunk = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for pdf in batches:
-            for t, samples in pdf.sort_values("seq")[["timestamp_ns", "samples"]].itertuples(index=False):
-                held += [float(x) for x in samples]
-                while len(held) >= size:
-                    out.append((key[0], chunk, int(t), held[:size]))
-                    held, chunk = held[size:], chunk + 1
+        for t, samples in pd.concat([pdf[["seq", "timestamp_ns", "samples"]] for pdf in batches]).sort_values("seq")[["timestamp_ns", "samples"]].itertuples(index=False):
+            held += [float(x) for x in samples]
+            while len(held) >= size:
+                out.append((key[0], chunk, int(t), held[:size]))
+                held, chunk = held[size:], chunk + 1
         state.update((held, chunk))
         yield pd.DataFrame(out, columns=["stream", "chunk", "timestamp_ns", "samples"])
 

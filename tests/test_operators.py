@@ -59,7 +59,7 @@ def test_a_long_chain_is_no_cycle(spark):
 
 def test_display_names_skip_taken_suffixes(spark):
     rows = spark.createDataFrame([("1", "T", "N", 0), ("2", "T", "N 2", 1), ("3", "T", "N", 2), ("4", "T", "N", 3)], P)
-    assert [r["shown"] for r in g.display_names_skipping(rows).orderBy("ord").collect()] == ["N", "N 2", "N 3", "N 4"]
+    assert [r["shown"] for r in g.display_names(rows).orderBy("ord").collect()] == ["N", "N 2", "N 3", "N 4"]
 
 
 F3 = "channel string, seq long, timestamp_ns long, payload string, len int, tick long"
@@ -226,3 +226,144 @@ def test_fnv(spark):
     long = "Proc" * 30
     name = spark.range(1).select(text.channel_name(F.lit(long), F.lit("out")).alias("n")).first()["n"]
     assert name == f"{long.lower()[:46]}-{fnv(long.lower().encode())[-12:]}/out" and len(name) == 63
+
+
+EPOCH = 1_700_000_000_012_999_980
+
+
+def test_whole_nanoseconds(spark):
+    """Buckets, ticks and clocks of nanoseconds since 1970, which doubles do not hold."""
+    from framegraph.functions import timing
+
+    tolerance = 16_600_000
+    left = spark.createDataFrame([(1, EPOCH), (2, -5)], "seq long, timestamp_ns long")
+    right = spark.createDataFrame([(1, EPOCH - tolerance), (2, EPOCH + tolerance), (3, EPOCH - tolerance - 1), (4, -5 - tolerance)], "seq long, timestamp_ns long")
+    assert sorted((r["l_seq"], r["r_seq"]) for r in pairing.interval_pairs(left, right, tolerance).collect()) == [(1, 1), (1, 2), (2, 4)]
+    assert {r["seq"]: r["r_seq"] for r in pairing.asof(left, right, 1_000_000).collect()} == {1: 1, 2: 4}
+    times = [1_700_000_000_000_000_000 - 100, EPOCH, -1, 0, 3_600_000_000_000 - 1]
+    rows = spark.createDataFrame([(t,) for t in times], "t long").select("t", timing.tick(F.col("t"), 7).alias("k"), text.wall_clock(F.col("t")).alias("w"))
+    got = {r["t"]: (r["k"], r["w"]) for r in rows.collect()}
+    assert [got[t][0] for t in times] == [t // 7 for t in times]
+    assert [got[t][1] for t in times] == ["22:13:19.999", "22:13:20.012", "23:59:59.999", "00:00:00.000", "00:59:59.999"]
+    assert spark.range(1).select(timing.expirations(F.lit(EPOCH), F.lit(EPOCH - 2 * tolerance), tolerance).alias("n")).first()["n"] == 2
+
+
+def test_reports_count_drops_since_the_last_one(spark):
+    """Ten drops every tenth of a second are told about once a second; a thousand at once are told at once."""
+    rows = [("a", k * 100_000_000, 10 * k) for k in range(51)] + [("b", 5, 0), ("b", 6, 1000), ("b", 7, 1999), ("b", 8, 2000), ("b", 10**10, 2000)]
+    out = [tuple(r) for r in d.dropped_reports(spark.createDataFrame(rows, "source string, timestamp_ns long, dropped long")).select("source", "timestamp_ns", "new_drops").orderBy("source", "timestamp_ns").collect()]
+    assert out == [("a", k * 10**9, 100) for k in range(1, 6)] + [("b", 6, 1000), ("b", 8, 1000)]
+
+
+def test_ring_and_mailbox(spark):
+    """Against queues that are filled and emptied tick by tick."""
+    rng = np.random.default_rng(3)
+    rows, seq = [], 0
+    for channel in "xy":
+        for tick in range(40):
+            for _ in range(int(rng.integers(0, 7))):
+                rows.append((channel, seq, tick))
+                seq += 1
+    want = []
+    for channel in "xy":
+        mailbox = []
+        for tick in range(40):
+            ring = [s for c, s, t in rows if (c, t) == (channel, tick)][-3:]
+            if ring:
+                mailbox = (mailbox + ring)[-3:]
+                want += [(channel, s, tick) for s in mailbox[:2]]
+                mailbox = mailbox[2:]
+    out = d.two_level(spark.createDataFrame(rows, "channel string, seq long, tick long"), 3, 2)
+    assert sorted((r["channel"], r["seq"], r["read_tick"]) for r in out.collect()) == sorted(want)
+
+
+def test_channel_names_are_cut_by_bytes(spark):
+    for source in ("é" * 60, "aé" * 40, "漢" * 40, "😀" * 30, "x漢😀" * 20):
+        name = spark.range(1).select(text.channel_name(F.lit(source), F.lit("out")).alias("n")).first()["n"]
+        head = name.rsplit("-", 1)[0]
+        assert 63 - 4 < len(name.encode()) <= 63 and source.startswith(head) and "\ufffd" not in name
+
+
+def test_a_name_that_many_want(spark):
+    rows = spark.createDataFrame([(f"{k:05}", "T", "N" if k % 2 else "M 7", k) for k in range(5000)], P)
+    shown = [r["shown"] for r in g.display_names(rows).orderBy("ord").collect()]
+    assert shown[:6] == ["M 7", "N", "M 7 2", "N 2", "M 7 3", "N 3"] and len(set(shown)) == 5000
+
+
+def test_percentiles_are_exact(spark):
+    from framegraph.sources.tables import percentiles
+
+    rng = np.random.default_rng(4)
+    data = [(k, float(v)) for k, n in ((1, 1), (2, 2), (3, 1001), (4, 400)) for v in np.round(rng.exponential(20, n), 2)] + [(5, None)]
+    out = {r["k"]: (r["a"], r["b"]) for r in percentiles(spark.createDataFrame(data, "k long, v double"), "k", "v", {"a": 0.5, "b": 0.99}).collect()}
+    assert out == {k: tuple(pytest.approx(np.percentile([v for j, v in data if j == k], q)) for q in (50, 99)) for k in (1, 2, 3, 4)}
+
+
+def test_resampled_frames_do_not_depend_on_how_a_stream_is_cut(spark):
+    rng = np.random.default_rng(5)
+    wave = rng.normal(size=(3000, 2))
+    outs = []
+    for cuts in (range(0, 3001, 3000), [0, 1, 2, 40, 41, 700, 2999, 3000], range(0, 3001, 8)):
+        rows = [(0, k, k, wave[s:e].ravel().tolist()) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        out = resample(spark.createDataFrame(rows, "stream long, seq long, timestamp_ns long, samples array<double>"), 48_000, 44_100, "low", channels=2).orderBy("seq").collect()
+        assert len(out) == len(rows)
+        outs.append(np.array([x for r in out for x in r["samples"]]))
+    assert len(outs[0]) == 2 * -(-(3000 - 8) * 44_100 // 48_000) and all(np.allclose(x, outs[0]) for x in outs)
+
+
+def test_one_frame_resampled_keeps_a_slow_sine(spark):
+    wave = np.sin(2 * np.pi * np.arange(400) * 100 / 32_000)
+    y = np.array(spark.createDataFrame([(wave.tolist(),)], "s array<double>").select(audio.resample_frame(F.col("s"), 32_000, 48_000).alias("y")).first()["y"])
+    want = np.sin(2 * np.pi * np.arange(600) * 100 / 48_000)
+    assert len(y) == 600 and np.abs(y - want)[30:-30].max() < 0.01
+
+
+def test_stream_state_takes_parts_in_any_order(spark, tmp_path):
+    """More frames of a key than an Arrow batch holds, not in order, in one micro-batch."""
+    from framegraph.plans.stream_queries import finish
+    from framegraph.streaming import links as st
+
+    n = 25_000
+    order = np.random.default_rng(6).permutation(n)
+    rows = spark.createDataFrame([(1, int(k), int(k), float(k)) for k in order], "key long, seq long, timestamp_ns long, value double")
+    for side in "lr":
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{side}")
+    left, right = (spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/{side}") for side in "lr")
+    out = finish(st.zip_ports(left, right))
+    assert out.where("l_seq = r_seq").count() == n == out.count()
+    audio_rows = left.select(F.col("key").alias("stream"), "seq", "timestamp_ns", F.array("value").alias("samples"))
+    chunks = finish(st.rechunk(audio_rows, 100)).orderBy("chunk").collect()
+    assert [x for r in chunks for x in r["samples"]] == [float(k) for k in range(n)]
+
+
+def test_checksums_are_xxhash64(spark):
+    import xxhash
+
+    from framegraph.plans.catalog import QUERIES
+    from framegraph.sources.tables import processors
+
+    sf = "/root/testdata/sf0.001"
+    shown = {r["id"]: r["c"] for r in processors(spark, sf).select("id", F.to_json(F.struct("type", "display_name")).alias("c")).collect()}
+    for r in QUERIES["sc_config_checksum"](spark, sf).collect():
+        assert r["checksum"] % 2**64 == xxhash.xxh64(shown[r["id"]].encode(), seed=42).intdigest()
+
+
+def test_every_sample_stream_accounts_for_all_frames(spark):
+    from framegraph.plans.catalog import QUERIES
+    from framegraph.sources.tables import frames
+
+    sf = "/root/testdata/sf0.001"
+    there = {r["channel"]: (r["n"], r["newest"]) for r in frames(spark, sf).groupBy("channel").agg(F.count("*").alias("n"), F.max("seq").alias("newest")).collect()}
+    out = QUERIES["st_every_sample_stream"](spark, sf).groupBy("channel").agg(F.count_distinct("seq").alias("n"), F.max("dropped").alias("dropped"), F.max("seq").alias("newest")).collect()
+    assert {r["channel"]: (r["n"] + r["dropped"], r["newest"]) for r in out} == there
+
+
+def test_a_large_graph_is_no_document(spark, monkeypatch):
+    from framegraph.sources import snapshot
+
+    monkeypatch.setattr(snapshot, "MOST", 3)
+    x = graph(spark, ["ab"])
+    x = g.Graph(x.processors, x.links.withColumn("state", F.lit("Wired")))
+    with pytest.raises(ValueError, match="too many"):
+        snapshot.export_json(x)
+    assert snapshot.export_lines(x).count() == 5
