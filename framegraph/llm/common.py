@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a folder of this machine only where that is unset (local runs)."""
+    """The shared folder in spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="framegraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = "file://" + own
@@ -144,18 +148,10 @@ LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
+#: Bytes of a block that belong to a word of which 0 to 8 are left.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Starts of the two independent hashes of a word, and bytes from which a word goes through BLAKE2.
+SEEDS, LONG = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -170,8 +166,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of many texts, found and hashed at once: `first[i]:first[i + 1]` are text i's words.
 
-    `hash` holds a 64-bit polynomial hash of each word's bytes, the same on every machine;
-    `part(k)` is that of its first k bytes, without a look at the bytes again.
+    `hash` holds a 64-bit hash of each word's bytes, the same on every machine, `second` another, independent one.
+    Words of the same length up to eight bytes never collide; longer ones are mixed block by block.
     """
 
     def __init__(self, texts: pa.Array, is_word: np.ndarray, lower: bool):
@@ -179,10 +175,12 @@ class Words:
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
-        data = LOWER[data] if lower else data
         n = len(data)
+        self._padded = np.zeros(n + 8, np.uint8)
+        self._padded[:n] = LOWER[data] if lower else data
+        self.data, self.texts = self._padded[:n], len(texts)
         inside = np.zeros(n + 1, bool)
-        inside[:n] = is_word[data]
+        inside[:n] = is_word[self.data]
         before = np.zeros(n + 1, bool)
         before[1:] = inside[:n]
         before[offsets] = False
@@ -193,17 +191,41 @@ class Words:
         after[inner[inner > 0] - 1] = False
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.data, self.texts = data, len(texts)
-        powers, self._inverse = _grown(n + 1)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data + np.uint64(1)) * powers[:n], out=self._sums[1:])
         self.hash = self.span(self.starts, self.ends)
 
-    def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
-
-    def part(self, k: int) -> np.ndarray:
-        return self.span(self.starts, np.minimum(self.starts + k, self.ends))
+    def blocks(self) -> np.ndarray:
+        """The eight bytes from each place on, as one number."""
+        return np.ndarray(len(self.data) + 1, "<u8", self._padded, strides=(1,))
+
+    @cached_property
+    def second(self) -> np.ndarray:
+        return self.span(self.starts, self.ends, 1)
+
+    def span(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of the bytes from each start to its end."""
+        blocks, length, seed = self.blocks(), ends - starts, SEEDS[which]
+        h = mix(mix(length.astype(np.uint64) + seed) ^ (blocks[starts] & _MASKS[np.minimum(length, 8)]))
+        for k in np.flatnonzero(length > LONG).tolist():
+            h[k] = int.from_bytes(hashlib.blake2b(self.data[starts[k] : ends[k]], digest_size=8, key=seed.tobytes()).digest(), "little")
+        live, at = np.flatnonzero((length > 8) & (length <= LONG)), 8
+        while len(live):
+            block = blocks[starts[live] + at] & _MASKS[np.minimum(length[live] - at, 8)]
+            h[live] = mix(h[live] * np.uint64(0xD1342543DE82EF95) + block)
+            at += 8
+            live = live[length[live] > at]
+        return h
+
+    def same(self, mine: np.ndarray, other: Words, theirs: np.ndarray) -> np.ndarray:
+        """Whether words `mine` have the bytes of the other's words `theirs`, one by one."""
+        length = self.ends[mine] - self.starts[mine]
+        equal = length == other.ends[theirs] - other.starts[theirs]
+        a, b, live, at = self.blocks(), other.blocks(), np.flatnonzero(equal), 0
+        while len(live):
+            differs = (a[self.starts[mine[live]] + at] ^ b[other.starts[theirs[live]] + at]) & _MASKS[np.minimum(length[live] - at, 8)]
+            equal[live[differs != 0]] = False
+            at += 8
+            live = live[(differs == 0) & (length[live] > at)]
+        return equal
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -212,14 +234,14 @@ class Words:
         return np.repeat(np.arange(self.texts), self.counts())
 
 
-def runs(hashes: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def runs(hashes: np.ndarray, owner: np.ndarray, k: int, step: int = 0xD1342543DE82EF95) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of k consecutive words that one text holds, and the place where the run starts."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     total = hashes[:n].copy()
     for j in range(1, k):
-        total *= np.uint64(0xD1342543DE82EF95)
+        total *= np.uint64(step)
         total += hashes[j : j + n]
     where = np.flatnonzero(owner[:n] == owner[k - 1 :])
     return mix(total[where]), where
