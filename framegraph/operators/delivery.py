@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.timing import whole
 from .running import numbered, running_last, running_max
 
 HEADER = 76
@@ -88,27 +89,83 @@ def every_nth(frames: DataFrame, n: int = 30) -> DataFrame:
     return numbered(frames, "channel", out="_r").where((F.col("_r") + 1) % n == 0).drop("_r")
 
 
+#: Intervals of a segment, which one task walks at a time.
+SEGMENT = 64
+
+
+def _groups(batches, at: list[int]):
+    """Runs of rows that are equal in the columns `at`, each put together from sorted batches."""
+    import pyarrow as pa
+
+    held, last = [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in at), strict=True))
+        start = 0
+        for k in range(1, len(keys) + 1):
+            if k < len(keys) and keys[k] == keys[start]:
+                continue
+            if held and keys[start] != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(start, k - start))
+            last, start = keys[start], k
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
+
+
 def every_interval(frames: DataFrame, interval_ns: int) -> DataFrame:
     """Frames at least the interval after the last one kept of their channel; the first is kept.
 
-    What is kept depends on what was kept before, so each channel is an ordered fold, fed batch by batch and in order:
-    a shuffle by channel with sorted partitions, no group is held whole.
+    What is kept depends on what was kept before. A channel is cut into segments of SEGMENT intervals, which tasks walk
+    side by side for every frame that may be the first one kept of a segment (those of its first interval, and the next);
+    a fold over only these settles which it is, and the segments are walked once more from there. So a channel with a
+    third of all frames is not one task, and a task holds one segment.
     """
-    at = frames.columns.index("channel"), frames.columns.index("timestamp_ns")
+    import numpy as np
+    import pyarrow as pa
 
-    def fold(batches):
-        import pyarrow as pa
+    rows = frames.withColumn("_seg", whole(F.col("timestamp_ns"), interval_ns * SEGMENT))
+    columns = rows.columns
+    at, time, seq = [columns.index("channel"), columns.index("_seg")], columns.index("timestamp_ns"), columns.index("seq")
+    channel = dict(frames.dtypes)["channel"]
 
-        channel = kept = None
+    def starts(batches):
+        for (name, seg), group in _groups(batches, at):
+            t = group.column(time).to_numpy()
+            following = np.searchsorted(t, t + interval_ns)
+            n = min(len(t), int(np.searchsorted(t, seg * interval_ns * SEGMENT + interval_ns)) + 1)
+            last = np.arange(n)
+            while len(ahead := np.flatnonzero(following[last] < len(t))):
+                last[ahead] = following[last[ahead]]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, group.schema.field(at[0]).type), pa.array([seg] * n, pa.int64()), pa.array(t[:n]), group.column(seq)[:n].combine_chunks(), pa.array(t[last])], names=["channel", "_seg", "_t", "_seq", "_last"])
+
+    def settle(batches):
+        name, free, started = None, 0, False
         for batch in batches:
             keep = []
-            for c, t in zip(batch.column(at[0]).to_pylist(), batch.column(at[1]).to_pylist(), strict=True):
-                keep.append(c != channel or t - kept >= interval_ns)
+            for c, t, last in zip(*(batch.column(k).to_pylist() for k in ("channel", "_t", "_last")), strict=True):
+                if not started or c != name:
+                    name, free, started = c, t, True
+                keep.append(t >= free)
                 if keep[-1]:
-                    channel, kept = c, t
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return frames.repartition("channel").sortWithinPartitions("channel", "timestamp_ns", "seq").mapInArrow(fold, frames.schema)
+                    free = last + interval_ns
+            yield batch.select(["channel", "_seg", "_t"]).filter(pa.array(keep, pa.bool_()))
+
+    def walk(batches):
+        for _, group in _groups(batches, at):
+            t, first = group.column(time).to_numpy(), group.column(len(columns))[0].as_py()
+            keep, k = np.zeros(len(t), bool), int(np.searchsorted(t, first))
+            while k < len(t):
+                keep[k] = True
+                k = int(np.searchsorted(t, t[k] + interval_ns))
+            yield from group.filter(pa.array(keep)).drop_columns(["_seg", "_from"]).to_batches()
+
+    dealt = lambda df: df.repartition("channel", "_seg").sortWithinPartitions("channel", "_seg", "timestamp_ns", "seq")
+    may = dealt(rows).mapInArrow(starts, f"channel {channel}, _seg long, _t long, _seq {dict(frames.dtypes)['seq']}, _last long")
+    firsts = may.repartition("channel").sortWithinPartitions("channel", "_t", "_seq").mapInArrow(settle, f"channel {channel}, _seg long, _t long")
+    firsts = firsts.select(F.col("channel").alias("_c"), F.col("_seg").alias("_s"), F.col("_t").alias("_from"))
+    led = rows.join(firsts, rows["channel"].eqNullSafe(firsts["_c"]) & (rows["_seg"] == firsts["_s"])).select(*columns, "_from")
+    return dealt(led).mapInArrow(walk, frames.schema)
 
 
 def drop_busy(frames: DataFrame, service_ns: int) -> DataFrame:

@@ -367,3 +367,22 @@ def test_a_large_graph_is_no_document(spark, monkeypatch):
     with pytest.raises(ValueError, match="too many"):
         snapshot.export_json(x)
     assert snapshot.export_lines(x).count() == 5
+
+
+def test_kept_intervals_over_many_segments(spark, monkeypatch):
+    """Against a plain fold: dense and sparse channels, ties, a missing channel name, times before 1970."""
+    monkeypatch.setattr(d, "SEGMENT", 3)
+    rng = np.random.default_rng(7)
+    rows, want = [], []
+    for channel, gap in (("dense", 3), ("sparse", 400), (None, 30)):
+        times = np.cumsum(rng.integers(0, gap, 700)) - 500
+        mine = [(channel, k, int(t)) for k, t in enumerate(times)]
+        rows += mine
+        last = None
+        for c, k, t in mine:
+            if last is None or t - last >= 25:
+                want.append((c, k))
+                last = t
+    out = d.every_interval(spark.createDataFrame(rows, "channel string, seq long, timestamp_ns long").repartition(5), 25)
+    assert out.columns == ["channel", "seq", "timestamp_ns"]
+    assert sorted(((r["channel"], r["seq"]) for r in out.collect()), key=str) == sorted(want, key=str)
