@@ -13,6 +13,7 @@ import json
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ class _Tokens:
     """
 
     def __init__(self, path: str):
-        self.library = self.fast = None
+        self.path, self.library, self.fast = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
@@ -54,15 +55,26 @@ class _Tokens:
 
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         else:
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_file(path)
-            self.library.encode_special_tokens = True
+            self.library = self._slow
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
-        return [np.asarray(self.fast.encode_to_numpy(x, disallowed_special=()), "<u4").tobytes() for x in texts]
+        return [self._fast_ids(x) for x in texts]
+
+    def _fast_ids(self, text: str) -> bytes:
+        try:
+            return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), "<u4").tobytes()
+        except ValueError:  # its pattern gives up on white space of about a million characters
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @cached_property
+    def _slow(self):
+        from tokenizers import Tokenizer
+
+        slow = Tokenizer.from_file(self.path)
+        slow.encode_special_tokens = True
+        return slow
 
 
 _workers: dict[str, _Tokens] = {}
@@ -220,7 +232,9 @@ def slots(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Every document ends with id 0, so null and empty texts make a piece of one id. Repeated rows are packed each.
+    Every document ends with id 0, so null and empty texts make a piece of one id. Only a document longer than a sequence
+    is cut, into as many pieces as it takes. Repeated rows, also of one or no doc_id, are packed each; pieces of equal
+    size are interchangeable. An empty table gives no rows. Further columns of any name are not looked at.
     """
     spark = docs.sparkSession
     pieces = materialize(id_and_text(docs).mapInArrow(_pieces(tokenizer, capacity), _PIECES))
