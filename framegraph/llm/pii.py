@@ -3,10 +3,15 @@
 DataFrame operations only; what reaches the driver is a table of feature cells with counts, whose size the number of
 bins bounds. Fixed patterns give the base spans of four kinds. Wide generators propose further, overlapping spans
 (numbers with separators, spelled-out addresses, long mixed tokens). Each candidate gets binned features of its
-format and context. Candidates that meet a base span are the positives from which gradient-boosted trees of depth
-two learn what personal data looks like; spelled-out addresses are put in plain form first, so that they look like others. The
-margins are calibrated by isotonic regression, and candidates whose calibrated precision is high enough are added.
-Base spans always stay.
+format and of its context.
+
+No one marks personal data, so labels are weak and come from two sides: a candidate is a positive where its format
+holds (it meets a base span, or is an address in plain form) or where its context says so (a credential or contact word introduces it) and no checksum
+speaks against it. The trees see every candidate three times: whole, with its context hidden, and with its format
+hidden. So what context has marked teaches formats (of keys and tokens), and what format has marked teaches contexts.
+Spelled-out addresses are put in plain form first, so that they look like others. Trees are grown on four fifths of the
+documents; the margins are calibrated by isotonic regression on the last fifth, and candidates whose calibrated
+precision is high enough are added. Base spans always stay.
 """
 
 from __future__ import annotations
@@ -32,27 +37,48 @@ WIDE = {
     "address": r"(?:\G|(?<![\p{L}0-9._%+-]))[\p{L}0-9._%+-]++\x20?(?:@|\(at\)|\[at\])\x20?[\p{L}0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[\p{L}0-9-]++)*+",
     "number": r"(?:\G|(?<![0-9]))\+?\(?[0-9](?:[\x20().:/-]{0,2}+[0-9]){6,}+",
     "dotted": r"(?:\G|(?<![0-9A-Fa-f:.]))[0-9A-Fa-f]{1,4}+(?:[.:][0-9A-Fa-f]{1,4}+){3,}+",
-    "token": r"(?:\G|(?<![A-Za-z0-9_/+=-]))[A-Za-z0-9_/+=-]{24,}+",
+    "token": r"(?:\G|(?<![A-Za-z0-9_/+-]))[A-Za-z0-9_/+-]{24,}+={0,2}+",
 }
-#: Trees, their step, and the share of base spans among like candidates from which one is added: those without a base
-#: span are not all something else, so half is enough. A leaf holds LEAST candidates or more.
+#: Trees, their step, and the share of positives among like candidates from which one is added: those without a mark
+#: are not all something else, so half is enough. A leaf holds LEAST candidates or more.
 TREES, RATE, PRECISION, LEAST = 24, 0.4, 0.5, 10
+#: One document in HELD is left to calibration, unless its positives are fewer than ENOUGH: then all documents calibrate.
+HELD, ENOUGH = 5, 20
+#: Words that introduce credentials and numbers, up to the candidate.
+INTRODUCED = {
+    "token": r"(?:key|token|secret|passw(?:or)?d|pwd|auth|bearer|credentials?)[a-z_-]{0,12}+\s{0,2}(?:[=:]|=>|\bis\b)\s{0,2}[\x22\x27]?$",
+    "number": r"(?:tel|phone|mobile|fax|call|ring|contact)[a-z]{0,6}+\s{0,2}[.:]?\s{0,2}$",
+}
+#: Elements that are summed at a time.
+BLOCK = 512
+
+
+def _sums_before(steps: Column) -> Column:
+    """At each place the sum of all earlier steps; block by block, so that a long array does not cost its square."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    add = lambda done, x: F.struct((done["at"] + x).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)))
+    inside = F.transform(cut, lambda x: F.aggregate(x, start, add))
+    bases = F.aggregate(inside, start, lambda done, x: add(done, x["at"]), lambda done: done["out"])
+    whole = F.flatten(F.zip_with(inside, bases, lambda x, base: F.transform(x["out"], lambda o: o + base)))
+    return F.when(F.size(steps) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _spans(text: Column, pattern: str, gate: Column) -> Column:
     """array<struct<s,e,m,before,after>> of leftmost non-overlapping matches, in code points, without a look at ungated texts."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string,after:string>>")
-    # (text before a match, match): the last piece has no match after it
-    pairs = F.zip_with(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))), F.slice(F.concat(pieces, F.array(F.lit(""))), 2, F.size(pieces)), lambda x, n: F.struct(x["p"].alias("p"), x["m"].alias("m"), F.substring(n, 1, 1).alias("n")))
+    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    starts = _sums_before(F.transform(pairs, lambda x: (F.length(x["p"]) + F.length(x["m"])).cast("bigint")))
+    nexts = F.transform(F.slice(pieces, F.lit(2), F.size(found)), lambda p: F.substring(p, 1, 1))
+    around = F.zip_with(starts, nexts, lambda at, n: F.struct(at.alias("at"), n.alias("n")))
 
-    def step(done, x):
-        start = done["at"] + F.length(x["p"])
-        hit = F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(16)).alias("before"), x["n"].alias("after"))
-        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).cast("bigint").alias("at"), F.when(x["m"].isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(hit))).alias("out"))
+    def hit(x, y):
+        s = y["at"] + F.length(x["p"])
+        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(32)).alias("before"), y["n"].alias("after"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
-    return F.when(gate, F.aggregate(pairs, start, step, lambda done: done["out"])).otherwise(empty)
+    return F.when(gate, F.zip_with(pairs, around, hit)).otherwise(empty)
 
 
 def _digits(m: Column) -> Column:
@@ -78,20 +104,27 @@ def _valid(kind: str, m: Column) -> Column:
     return (n >= 9) & (n <= 15) if kind == "phone" else F.lit(True)
 
 
-#: Feature: expression over a candidate c (and its generator g), giving a small whole number.
-FEATURES = {
+#: Feature: expression over a candidate c (and its generator g), giving a small whole number; those of the format, then
+#: those of the context. Digits that look like a card or an address of four parts have check 2 if they hold as one, else 1.
+FORMAT = {
     "generator": "g",
-    "digits": "case when length(regexp_replace(c.m, '[^0-9]', '')) = 0 then 0 when length(regexp_replace(c.m, '[^0-9]', '')) < 9 then 1 when length(regexp_replace(c.m, '[^0-9]', '')) < 13 then 2 when length(regexp_replace(c.m, '[^0-9]', '')) < 20 then 3 else 4 end",
-    "length": "case when length(c.m) < 8 then 0 when length(c.m) < 13 then 1 when length(c.m) < 20 then 2 when length(c.m) < 41 then 3 else 4 end",
+    "digits": "case when c.digits = 0 then 0 when c.digits < 9 then 1 when c.digits < 13 then 2 when c.digits < 20 then 3 else 4 end",
+    "length": "case when length(c.m) < 8 then 0 when length(c.m) < 13 then 1 when length(c.m) < 20 then 2 when length(c.m) < 41 then 3 when length(c.m) < 129 then 4 else 5 end",
     "dots": "least(length(regexp_replace(c.m, '[^.]', '')), 4)",
     "at": "int(contains(c.m, '@'))",
     "gaps": "least(length(regexp_replace(c.m, '[^ ()-]', '')), 3)",
-    # digits that look like a card or an address of four parts: 2 if they hold as one, 1 if not
-    "check": "case when rlike(c.m, '^[0-9]+([.][0-9]+){3}$') then if(forall(split(c.m, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false)), 2, 1) when length(regexp_replace(c.m, '[^0-9]', '')) >= 13 then if(not rlike(c.m, '[^0-9 -]|[ -]{2}') and luhn_check(regexp_replace(c.m, '[^0-9]', '')), 2, 1) else 0 end",
-    "letters": "case when length(regexp_replace(c.m, '[^A-Za-z]', '')) = 0 then 0 when length(regexp_replace(c.m, '[^A-Za-z]', '')) * 2 < length(c.m) then 1 else 2 end",
-    "before": "case when rlike(lower(c.before), '(mail|tel|phone|call|card|addr|contact)[^a-z]*$') then 3 when rlike(c.before, '[=:]\\\\s*[\"'']?$') then 2 when c.before = '' or rlike(c.before, '\\\\s$') then 1 else 0 end",
-    "after": "case when c.after = '' or rlike(c.after, '\\\\s') then 0 when rlike(c.after, '[.,;:!?)\"'']') then 1 else 2 end",
+    "check": "case when rlike(c.m, '^[0-9]+([.][0-9]+){3}$') then if(forall(split(c.m, '[.]'), p -> coalesce(try_cast(p as int) <= 255, false)), 2, 1) when c.digits >= 13 and not rlike(c.m, '[A-Za-z_/=]') then if(not rlike(c.m, '[^0-9 -]|[ -]{2}') and luhn_check(regexp_replace(c.m, '[^0-9]', '')), 2, 1) else 0 end",
+    "letters": "case when c.letters = 0 then 0 when c.letters * 2 < length(c.m) then 1 else 2 end",
+    # distinct characters of a long token, and how often letters and digits take turns
+    "variety": "case when length(c.m) < 24 then 0 when size(array_distinct(split(left(c.m, 64), ''))) < 8 then 1 else 2 end",
+    "turns": "case when c.digits = 0 or c.letters = 0 then 0 when size(regexp_extract_all(left(c.m, 64), '[A-Za-z](?=[0-9])', 0)) < 4 then 1 else 2 end",
 }
+CONTEXT = {
+    "told": "int(c.told)",
+    "before": "case when rlike(c.before, '[=:]\\\\s*[\"\\']?$') then 3 when rlike(c.before, '[\"\\'(<]$') then 2 when c.before = '' or rlike(c.before, '\\\\s$') then 1 else 0 end",
+    "after": "case when c.after is null or c.after = '' or rlike(c.after, '\\\\s') then 0 when rlike(c.after, '[.,;:!?)\"\\']') then 1 else 2 end",
+}
+FEATURES = FORMAT | CONTEXT
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -113,8 +146,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = found.withColumn("base", base)
     wide = []
     for g, name in enumerate(WIDE):
-        features = [f"{e.replace('g', str(g)) if e == 'g' else e} as {f}" for f, e in FEATURES.items()]
-        wide.append(f"transform({name}, c -> struct('{name}' as generator, c.s as s, c.e as e, c.m as m, exists(base, b -> b.s < c.e and c.s < b.e) as met, struct({', '.join(features)}) as x))")
+        told = f"rlike(lower(c.before), r'{INTRODUCED[name]}')" if name in INTRODUCED else "false"
+        counted = f"transform({name}, c -> struct(c.s, c.e, c.m, c.before, c.after, length(regexp_replace(c.m, '[^0-9]', '')) as digits, length(regexp_replace(c.m, '[^A-Za-z]', '')) as letters, {told} as told))"
+        # an address in plain form is held against the base pattern as a whole
+        holds = r"rlike(c.m, r'^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$')" if name == "address" else "false"
+        features = [f"{str(g) if e == 'g' else e} as {f}" for f, e in FEATURES.items()]
+        wide.append(f"transform({counted}, c -> struct('{name}' as generator, c.s as s, c.e as e, c.m as m, exists(base, b -> b.s < c.e and c.s < b.e) as met, {holds} as holds, struct({', '.join(features)}) as x))")
     return found.select("doc_id", "base", F.expr(f"concat({', '.join(wide)})").alias("wide"))
 
 
@@ -160,8 +197,8 @@ def _calibrated(scored: list[tuple[float, int, int]]) -> float:
     return sum(block[0] for block in blocks[precise - 1 : precise + 1]) / len(blocks[precise - 1 : precise + 1]) - 1e-9
 
 
-def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TREES) -> Trees:
-    """cells: (features, candidates, positives among them). Newton boosting with an L2 penalty of one."""
+def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TREES, held: list[tuple[dict, int, int]] | None = None) -> Trees:
+    """cells: (features, candidates, positives among them). Newton boosting with an L2 penalty of one; held: for calibration."""
     model = Trees(names)
     n, y = sum(c for _, c, _ in cells), sum(p for _, _, p in cells)
     if not n:
@@ -169,52 +206,76 @@ def boost(cells: list[tuple[dict, int, int]], names: list[str], trees: int = TRE
     model.start = math.log((y + 0.5) / (n - y + 0.5))
     margins = [model.start] * len(cells)
 
-    def value(at: list[int]) -> tuple[float, float]:
-        g = h = 0.0
-        for k in at:
-            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, margins[k]))))
-            g, h = g + cells[k][2] - cells[k][1] * q, h + cells[k][1] * q * (1 - q)
-        return g, h
-
-    def grow(at: list[int], depth: int):
-        g, h = value(at)
+    def grow(at: list[int], depth: int, slopes: list[tuple[float, float]]):
+        g, h, total = sum(slopes[k][0] for k in at), sum(slopes[k][1] for k in at), sum(cells[k][1] for k in at)
         best = None
-        if depth:
-            for name in names:
-                for cut in sorted({cells[k][0][name] for k in at})[:-1]:
-                    low = [k for k in at if cells[k][0][name] <= cut]
-                    below = sum(cells[k][1] for k in low)
-                    if min(below, sum(cells[k][1] for k in at) - below) < LEAST:
-                        continue
-                    gl, hl = value(low)
-                    gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                    if gain > 1e-6 and (best is None or gain > best[0]):
-                        best = (gain, name, cut, low)
+        for name in names if depth else ():
+            by: dict[int, list[float]] = {}
+            for k in at:
+                own = by.setdefault(cells[k][0][name], [0.0, 0.0, 0])
+                own[0] += slopes[k][0]
+                own[1] += slopes[k][1]
+                own[2] += cells[k][1]
+            gl = hl = below = 0
+            for cut in sorted(by)[:-1]:
+                gl, hl, below = gl + by[cut][0], hl + by[cut][1], below + by[cut][2]
+                if min(below, total - below) < LEAST:
+                    continue
+                gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+                if gain > 1e-6 and (best is None or gain > best[0]):
+                    best = (gain, name, cut)
         if best is None:
             return RATE * g / (h + 1)
-        _, name, cut, low = best
-        inside = set(low)
-        return (name, cut, grow(low, depth - 1), grow([k for k in at if k not in inside], depth - 1))
+        _, name, cut = best
+        low, high = [k for k in at if cells[k][0][name] <= cut], [k for k in at if cells[k][0][name] > cut]
+        return (name, cut, grow(low, depth - 1, slopes), grow(high, depth - 1, slopes))
 
     for _ in range(trees):
-        tree = grow(list(range(len(cells))), 2)
+        slopes = []
+        for m, (_, c, p) in zip(margins, cells, strict=True):
+            q = 1 / (1 + math.exp(-max(-30.0, min(30.0, m))))
+            slopes.append((p - c * q, c * q * (1 - q)))
+        tree = grow(list(range(len(cells))), 2, slopes)
         model.trees.append(tree)
         margins = [m + model._leaf(tree, x) for m, (x, _, _) in zip(margins, cells, strict=True)]
-    model.threshold = _calibrated([(m, c, y) for m, (_, c, y) in zip(margins, cells, strict=True)])
+    scored = zip(margins, cells, strict=True) if held is None else ((model.margin(x), (x, c, y)) for x, c, y in held)
+    model.threshold = _calibrated([(m, c, y) for m, (_, c, y) in scored])
     return model
 
 
+def views(cells: list[tuple[dict, int, int]]) -> list[tuple[dict, int, int]]:
+    """Each cell whole, without its context and without its format but for the generator; equal ones put together."""
+    out: dict[tuple, list[int]] = {}
+    for hidden in ((), tuple(CONTEXT), tuple(x for x in FORMAT if x != "generator")):
+        for x, n, y in cells:
+            own = out.setdefault(tuple(-1 if f in hidden else x[f] for f in FEATURES), [0, 0])
+            own[0] += n
+            own[1] += y
+    return [(dict(zip(FEATURES, x, strict=True)), n, y) for x, (n, y) in sorted(out.items())]
+
+
+def learn(found: DataFrame) -> Trees:
+    """Trees from the candidates of `candidates`; without candidates, trees that add nothing."""
+    positive = (F.col("c.met") | F.col("c.holds") | (F.col("c.x.told") == 1)) & (F.col("c.x.check") != 1)
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HELD)) == 0
+    each = found.select(held.alias("held"), F.explode("wide").alias("c")).select("held", "c.x", positive.alias("y"))
+    cells = each.groupBy("held", "x").agg(F.count("*").alias("n"), F.count_if("y").alias("y")).collect()  # as many rows as bins have combinations
+    rows = [(r["held"], (r["x"].asDict(), r["n"], r["y"])) for r in sorted(cells, key=lambda r: (r["held"], tuple(r["x"])))]
+    apart = [c for h, c in rows if h]
+    enough = sum(y for _, _, y in apart) >= ENOUGH
+    return boost(views([c for h, c in rows if not (h and enough)]), list(FEATURES), held=apart if enough else [c for _, c in rows])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of (kind, s, e); spans holds base and the added ones.
 
-    Positions are code points, the end exclusive. Null or empty texts have no spans. An added span never overlaps a
-    base span or another added one of a higher margin (the earlier, then longer one of equals stays).
+    Positions are code points, the end exclusive. An added span never overlaps a base span or another added one of a
+    higher margin (the earlier, then longer one of equals stays). Null or empty texts have no spans, long texts are read
+    whole, repeated rows give repeated rows, an empty table none; further columns of any name are not looked at.
     """
     found = materialize(candidates(docs))
-    names = list(FEATURES)
-    cells = found.select(F.explode("wide").alias("c")).groupBy("c.x").agg(F.count("*").alias("n"), F.sum(F.col("c.met").cast("int")).alias("y")).collect()
-    model = boost([(r["x"].asDict(), r["n"], r["y"]) for r in sorted(cells, key=lambda r: tuple(r["x"]))], names)
-    # cells times trees are few: every document's candidates get their margins by one expression
+    model = learn(found)
+    # every document's candidates get their margins by one expression
     margin = model.sql()
     kind = "case c.generator when 'address' then 'email' when 'dotted' then 'ip' when 'token' then 'secret' else case when startswith(c.m, '+') then 'phone' when length(regexp_replace(c.m, '[^0-9]', '')) >= 13 then 'card' else 'phone' end end"
     threshold = repr(model.threshold) + "D" if math.isfinite(model.threshold) else "double('Infinity')"
