@@ -15,24 +15,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, in_fold, mix, slices, table
+from .common import id_and_text, in_fold, slices, table
 
 CHUNK, HOP = 512, 448
 EMBED, FILTERS, DENSE, WIDTH = 8, 32, 24, 4
-#: Labelled rows to learn from, at most (half of them of each label where there are enough), bytes of each that training looks at.
-SAMPLE, TRAIN_CHUNKS = 3000, 12
-STEPS, BATCH = 500, 24
+#: Labelled rows to learn from, at most (half of them of each label where there are enough); their texts are used whole.
+SAMPLE = 3000
+#: Gradient steps, texts of a step, and chunks that go through the network at a time.
+STEPS, BATCH, PART = 500, 24, 512
 
 
-def chunks(texts: list[bytes], most: int | None = None, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chunks(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of all texts (rows of CHUNK bytes, zeros after the end) and the text each belongs to."""
     rows, owner = [], []
     for k, text in enumerate(texts):
         n = max(1, -(-(len(text) - (CHUNK - HOP)) // HOP))
-        starts = range(0, n * HOP, HOP)
-        if most and n > most:
-            starts = sorted(rng.choice(n, most, replace=False) * HOP)
-        for s in starts:
+        for s in range(0, n * HOP, HOP):
             part = text[s : s + CHUNK]
             rows.append(part if len(part) == CHUNK else part.ljust(CHUNK, b"\0"))
             owner.append(k)
@@ -49,19 +47,26 @@ def initial() -> dict[str, np.ndarray]:
     }
 
 
-def _forward(w: dict, data: np.ndarray, owner: np.ndarray, texts: int):
+def _rate(w: dict, data: np.ndarray):
+    """What the network makes of chunks on the way to their ratings, ratings last."""
     x = w["E"][data].reshape(len(data), CHUNK // WIDTH, WIDTH * EMBED)
     a = x @ w["W0"]
     a[:, :-1] += (x @ w["W1"])[:, 1:]
     top = a.argmax(1)
     pooled = np.take_along_axis(a, top[:, None], 1)[:, 0] + w["b"]
     hidden = np.maximum(pooled @ w["D"] + w["d"], 0)
-    rating = (hidden @ w["o"])[:, 0]
-    first = np.searchsorted(owner, np.arange(texts))
-    n = np.bincount(owner, minlength=texts)
+    return x, top, pooled, hidden, (hidden @ w["o"])[:, 0]
+
+
+def _logits(w: dict, rating: np.ndarray, owner: np.ndarray, texts: int):
+    """Logit of each text from its chunks' ratings: their mean, largest and smallest."""
+    first, n = np.searchsorted(owner, np.arange(texts)), np.bincount(owner, minlength=texts)
     mean, high, low = np.add.reduceat(rating, first) / n, np.maximum.reduceat(rating, first), np.minimum.reduceat(rating, first)
-    logit = w["v"][0] * mean + w["v"][1] * high + w["v"][2] * low + w["v"][3]
-    return x, top, pooled, hidden, rating, (n, mean, high, low), logit
+    return n, mean, high, low, w["v"][0] * mean + w["v"][1] * high + w["v"][2] * low + w["v"][3]
+
+
+def _ratings(w: dict, data: np.ndarray) -> np.ndarray:
+    return np.concatenate([_rate(w, data[s : s + PART])[-1] for s in range(0, len(data), PART)])
 
 
 def probability(w: dict, texts: list[bytes]) -> np.ndarray:
@@ -72,39 +77,52 @@ def probability(w: dict, texts: list[bytes]) -> np.ndarray:
             size += len(texts[e])
             e += 1
         data, owner = chunks(texts[k:e])
-        ratings = np.concatenate([_forward(w, data[s : s + 512], np.arange(len(data[s : s + 512])), len(data[s : s + 512]))[4] for s in range(0, len(data), 512)])
-        first, n = np.searchsorted(owner, np.arange(e - k)), np.bincount(owner, minlength=e - k)
-        logit = w["v"][0] * np.add.reduceat(ratings, first) / n + w["v"][1] * np.maximum.reduceat(ratings, first) + w["v"][2] * np.minimum.reduceat(ratings, first) + w["v"][3]
+        logit = _logits(w, _ratings(w, data), owner, e - k)[-1]
         out[k:e] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         k = e
     return out
 
 
+def loss(w: dict, data: np.ndarray, owner: np.ndarray, y: np.ndarray) -> float:
+    z = _logits(w, _ratings(w, data), owner, len(y))[-1]
+    return float((np.log1p(np.exp(z)) - y * z).mean())
+
+
 def _gradients(w: dict, data: np.ndarray, owner: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-    x, top, pooled, hidden, rating, (n, mean, high, low), logit = _forward(w, data, owner, len(y))
-    dl = ((1 / (1 + np.exp(-logit)) - y) * weight / weight.sum()).astype(np.float32)
-    g = {"v": np.array([dl @ mean, dl @ high, dl @ low, dl.sum()], np.float32)}
+    """Gradients of the weighted mean loss over all chunks: ratings first, then back through the network, both in parts."""
+    rating = _ratings(w, data)
+    n, mean, high, low, logit = _logits(w, rating, owner, len(y))
+    dl = ((1 / (1 + np.exp(-logit)) - y) * weight / weight.sum()).astype(w["v"].dtype)
     dr = w["v"][0] * (dl / n)[owner]
     for v, best in ((w["v"][1], high), (w["v"][2], low)):
         at = rating == best[owner]
         dr = dr + np.where(at, v * dl[owner] / np.bincount(owner, weights=at)[owner], 0)
-    dr = dr.astype(np.float32)[:, None]
-    g["o"] = hidden.T @ dr
+    g = {k: np.zeros_like(a) for k, a in w.items()}
+    g["v"][:] = dl @ mean, dl @ high, dl @ low, dl.sum()
+    for s in range(0, len(data), PART):
+        _back(w, data[s : s + PART], dr[s : s + PART, None].astype(dl.dtype), g)
+    return g
+
+
+def _back(w: dict, data: np.ndarray, dr: np.ndarray, g: dict) -> None:
+    """Adds the gradients that the ratings of these chunks bring."""
+    x, top, pooled, hidden, _ = _rate(w, data)
+    g["o"] += hidden.T @ dr
     dh = (dr @ w["o"].T) * (hidden > 0)
-    g["D"], g["d"] = pooled.T @ dh, dh.sum(0)
+    g["D"] += pooled.T @ dh
+    g["d"] += dh.sum(0)
     dp = dh @ w["D"].T
-    g["b"] = dp.sum(0)
+    g["b"] += dp.sum(0)
     rows = np.arange(len(data))[:, None]
     left = x[rows, top]  # (chunks, filters, WIDTH * EMBED)
     last = top == x.shape[1] - 1
     right = np.where(last[..., None], 0, x[rows, np.minimum(top + 1, x.shape[1] - 1)])
-    g["W0"], g["W1"] = np.einsum("cfk,cf->kf", left, dp, optimize=True), np.einsum("cfk,cf->kf", right, dp, optimize=True)
-    g["E"] = np.zeros_like(w["E"])
+    g["W0"] += np.einsum("cfk,cf->kf", left, dp, optimize=True)
+    g["W1"] += np.einsum("cfk,cf->kf", right, dp, optimize=True)
     for part, kernel, live in ((0, w["W0"], np.ones_like(last)), (1, w["W1"], ~last)):
         dx = (dp * live)[..., None] * kernel.T[None]
         at = (np.minimum(top + part, x.shape[1] - 1) * WIDTH)[..., None] + np.arange(WIDTH)
         np.add.at(g["E"], data[rows[..., None], at].ravel(), dx.reshape(-1, EMBED))
-    return g
 
 
 def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS) -> dict:
@@ -117,9 +135,8 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS) -> dict:
         return w
     mean = {k: a.astype(np.float64) for k, a in w.items()}
     for t in range(1, steps + 1):
-        pick = np.concatenate([rng.choice(k, BATCH // 2) for k in both])
-        data, owner = chunks([texts[k] for k in pick], TRAIN_CHUNKS, rng)
-        g = _gradients(w, data, owner, y[pick].astype(np.float32), np.ones(len(pick), np.float32))
+        pick, times = np.unique(np.concatenate([rng.choice(k, BATCH // 2) for k in both]), return_counts=True)
+        g = _gradients(w, *chunks([texts[k] for k in pick]), y[pick].astype(np.float32), times.astype(np.float32))
         for k, grad in g.items():
             m[k] += 0.1 * (grad - m[k])
             s[k] += 0.01 * (grad * grad - s[k])
@@ -128,30 +145,27 @@ def fit(texts: list[bytes], y: np.ndarray, steps: int = STEPS) -> dict:
     return {k: a.astype(np.float32) for k, a in mean.items()}
 
 
-def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE) -> dict:
-    """The network from at most `sample` labelled rows (smallest hashes of doc_id of each label) where `usable` holds."""
+def train(docs: DataFrame, labels: DataFrame, usable, sample: int = SAMPLE, steps: int = STEPS) -> dict:
+    """The network from at most `sample` labelled rows (smallest hashes of doc_id of each label) where `usable` holds.
+
+    Their texts are used whole, so that learning and scoring combine the same chunks. Without rows of both labels the
+    network gives one probability to all texts. Rows without a label or an id are left out; of a doc_id's labels the
+    largest counts, and each row that has the doc_id is learned from.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).dropna().where(usable)
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     each = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
     rows = id_and_text(docs).join(F.broadcast(each[0].unionByName(each[1])), "doc_id")  # at most `sample` rows of 12 bytes
-    # training looks at TRAIN_CHUNKS chunks of a text at a time: of longer texts a part at a place that the id fixes is enough
-    most = 4 * TRAIN_CHUNKS * HOP
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
-                text = text.as_py()
-                s = int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(max(len(text) - most + 1, 1)))
-                out.append(text[s : s + most])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], names=["doc_id", "y", "part"])
-
-    found = rows.select("doc_id", "text", "y").mapInArrow(cut, "doc_id long, y int, part binary").orderBy("doc_id").collect()  # `sample` parts of bounded size
-    return fit([bytes(r["part"]) for r in found], np.array([r["y"] for r in found], np.int64))
+    found = rows.select("doc_id", "text", "y").orderBy("doc_id", "text").limit(sample).collect()  # `sample` texts
+    return fit([r["text"].encode() for r in found], np.array([r["y"] for r in found], np.int64), steps)
 
 
 def score(docs: DataFrame, weights: dict) -> DataFrame:
-    """(doc_id, score): the probability of label 1 from the whole text; null and empty texts are one chunk of zeros."""
+    """(doc_id, score): the probability of label 1 from the whole text, however long.
+
+    Null and empty texts are one chunk of zeros. Repeated rows are scored each, an empty table gives no rows; further
+    columns of any name are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
