@@ -10,14 +10,18 @@ where classes cut the units by frequency and P(word | unit) is 1 for a frequent
 from counts inside a bucket, which holds a share for words never seen. So all words have a probability and the
 sum over all is at most one.
 
-Training is data-parallel: every training document gives one span of tokens; a task runs truncated
-backpropagation over its spans (gradients stop at each window, the state goes on), and the tasks' weights are
-averaged by the tokens behind them, in two levels so that no one gathers all of them. Scoring carries the state
-from window to window through each whole document.
+Texts are tokenised twice: to count, and to write each document's units, from which both training and scoring read.
+Training is data-parallel and goes once through every token of every training document: documents are cut into
+consecutive spans, spans are dealt by a hash of document and place to shards of a fixed number of tokens, and a task
+runs truncated backpropagation over a shard (gradients stop at each window, the state goes on to the end of the span).
+Shards of the first half of the spans start from the initial weights, those of the second half from the first half's
+mean; means are weighted by tokens and taken in levels, so that no one gathers all of them. Neither shards nor their
+order depend on how rows were dealt to tasks. Scoring carries the state from window to window through each whole document.
 """
 
 from __future__ import annotations
 
+import heapq
 import io
 from collections.abc import Iterator
 from functools import cached_property
@@ -25,7 +29,6 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,16 @@ HEAD, BUCKETS, CLASSES = 1500, 256, 40
 #: Words whose counts every task holds (16 bytes each): a bound on what is broadcast.
 KNOWN = 400_000
 EMBED, HIDDEN = 24, 32
-#: Tokens of a gradient window, windows of a training span, spans of a gradient step, rounds of averaging.
-BPTT, SPAN_WINDOWS, BATCH, ROUNDS = 24, 4, 128, 2
-#: Fewest gradient steps of a task in a round: a small table is gone through again and again.
+#: Tokens of a gradient window and of a training span at most, spans side by side at most, and tokens of a shard.
+BPTT, SPAN, LANES, SHARD_TOKENS = 24, 1024, 512, 2_000_000
+#: Learning rates of the turns, each of which takes its share of the spans; models that are averaged at a time.
+RATES, FAN_IN = (0.01, 0.004), 64
+#: Fewest gradient steps of a shard: a small table has fewer lanes, or is gone through again.
 LEAST_STEPS = 160
 #: Bits of a hash that find a known word at once.
 SLOT_BITS = 21
-#: Texts' bytes that are scored side by side.
-POOL = 8 << 20
+#: Texts' bytes whose units are found, and bytes of units that are scored, side by side.
+POOL = 8 << 20, 2 << 20
 END_HASH = np.uint64(0x6A09E667F3BCC909)
 END, REPEAT = 0, 1
 
@@ -221,13 +226,14 @@ def _outputs(w: dict, v: Vocabulary, hs: np.ndarray, units: np.ndarray, gradient
     return logp, dh
 
 
-def _train_window(w: dict, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of one window (time, lane); the state that enters counts as given. live: tokens that exist."""
+def _train_window(w: dict, v: Vocabulary, inputs: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of one window (time, lane); the state that enters counts as given. live: tokens that exist; fresh:
+    where a span starts, from the empty state."""
     time, lanes = inputs.shape
     x = (w["E"] @ w["W"] + w["b"])[inputs]
     trace, states = [], np.empty((time, lanes, HIDDEN), np.float32)
     for t in range(time):
-        before = h
+        before = h if fresh is None else np.where(fresh[t][:, None], np.float32(0), h)
         h, z, r, c, gc = _step(x[t], before, w["U"])
         trace.append((before, z, r, c, gc))
         states[t] = h
@@ -249,6 +255,8 @@ def _train_window(w: dict, v: Vocabulary, inputs: np.ndarray, targets: np.ndarra
         dx[t] = np.concatenate([dz, dr, dc], 1)
         g["U"] += before.T @ dg
         carry = d * z + dg @ w["U"].T
+        if fresh is not None:
+            carry[fresh[t]] = 0
     flat = dx.reshape(-1, 3 * HIDDEN)
     g["b"] += flat.sum(0)
     ids = inputs.ravel()
@@ -260,35 +268,46 @@ def _train_window(w: dict, v: Vocabulary, inputs: np.ndarray, targets: np.ndarra
     return g, h, float(logp.sum())
 
 
-def _train(weights: dict, v: Vocabulary, spans: np.ndarray, seed: int, rate: float) -> int:
-    """Adam over a task's spans (rows of units, -1 after the end), in place; returns the tokens gone through."""
-    rng = np.random.default_rng(seed)
+class _Lanes:
+    """Spans (units, the one before the first in front) laid end to end in lanes of about equal length."""
+
+    def __init__(self, spans: list[np.ndarray]):
+        counts = np.array([len(x) - 1 for x in spans], np.int64)
+        self.tokens = int(counts.sum())
+        n = int(np.clip(self.tokens // (BPTT * LEAST_STEPS), 8, LANES))
+        lanes = _dealt(counts, n)
+        time = max(sum(int(counts[k]) for k in lane) for lane in lanes)
+        time = -(-time // BPTT) * BPTT
+        self.inputs, self.targets = np.zeros((time, n), np.int32), np.zeros((time, n), np.int32)
+        self.live, self.fresh = np.zeros((time, n), bool), np.zeros((time, n), bool)
+        for k, lane in enumerate(lanes):
+            at = 0
+            for i in lane:
+                end = at + counts[i]
+                self.inputs[at:end, k], self.targets[at:end, k] = spans[i][:-1], spans[i][1:]
+                self.live[at:end, k], self.fresh[at, k] = True, True
+                at = end
+
+
+def _train(weights: dict, v: Vocabulary, lanes: _Lanes, rate: float) -> None:
+    """Adam over all windows of a shard, in place."""
     m = {k: np.zeros_like(a) for k, a in weights.items()}
     s = {k: np.zeros_like(a) for k, a in weights.items()}
-    steps = max(LEAST_STEPS // SPAN_WINDOWS, -(-len(spans) // BATCH))
-    done = tokens = 0
-    order = np.zeros(0, np.int64)
-    for turn in range(steps):
-        if len(order) < BATCH:
-            order = np.concatenate([order, rng.permutation(len(spans))])
-        batch, order = spans[order[:BATCH]].T, order[BATCH:]
-        h = np.zeros((batch.shape[1], HIDDEN), np.float32)
-        step = rate * (1 - 0.9 * turn / steps)
-        for k in range(SPAN_WINDOWS):
-            part = batch[k * BPTT : (k + 1) * BPTT + 1]
-            live = part[1:] >= 0
-            if not live.any():
-                break
-            g, h, _ = _train_window(weights, v, np.maximum(part[:-1], 0), np.maximum(part[1:], 0), live, h)
-            done += 1
-            tokens += int(live.sum())
-            scale = 1 / live.sum()
-            for name, grad in g.items():
-                grad *= scale
-                m[name] += 0.1 * (grad - m[name])
-                s[name] += 0.002 * (grad * grad - s[name])
-                weights[name] -= step * (m[name] / (1 - 0.9**done)) / (np.sqrt(s[name] / (1 - 0.998**done)) + 1e-7)
-    return tokens
+    windows = len(lanes.live) // BPTT
+    steps = windows * max(1, -(-LEAST_STEPS // windows))
+    h = np.zeros((lanes.live.shape[1], HIDDEN), np.float32)
+    for done in range(1, steps + 1):
+        start = (done - 1) % windows * BPTT
+        at = slice(start, start + BPTT)
+        open_ = np.flatnonzero(lanes.live[at].any(0))
+        part = lambda x: x[at, open_]  # noqa: E731, B023
+        g, h[open_], _ = _train_window(weights, v, part(lanes.inputs), part(lanes.targets), part(lanes.live), h[open_], part(lanes.fresh))
+        scale, step = 1 / lanes.live[at].sum(), rate * (1 - 0.9 * (done - 1) / steps)
+        for name, grad in g.items():
+            grad *= scale
+            m[name] += 0.1 * (grad - m[name])
+            s[name] += 0.002 * (grad * grad - s[name])
+            weights[name] -= step * (m[name] / (1 - 0.9**done)) / (np.sqrt(s[name] / (1 - 0.998**done)) + 1e-7)
 
 
 def _pack(weights: dict) -> bytes:
@@ -302,12 +321,13 @@ def _unpack(data: bytes) -> dict:
 
 
 def _average(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("shard")
     total = pdf["tokens"].sum()
     mean: dict = {}
     for data, n in zip(pdf["weights"], pdf["tokens"], strict=True):
         for k, a in _unpack(data).items():
             mean[k] = mean.get(k, 0) + a.astype(np.float64) * (n / total)
-    return pd.DataFrame({"tokens": [total], "weights": [_pack({k: a.astype(np.float32) for k, a in mean.items()})]})
+    return pd.DataFrame({"shard": [pdf["shard"].iloc[0] // FAN_IN], "tokens": [total], "weights": [_pack({k: a.astype(np.float32) for k, a in mean.items()})]})
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -362,67 +382,62 @@ def vocabulary_of(counts: DataFrame) -> tuple[Vocabulary, int]:
     return Vocabulary(hashes, known["n"].to_numpy(np.int64), total, distinct, in_bucket, of_bucket), least
 
 
-def train(rows: DataFrame, v: Vocabulary) -> dict:
-    """Weights of the recurrent model after ROUNDS of training on one span of every document of rows."""
-    spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(v)
-    size = BPTT * SPAN_WINDOWS + 1
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Consecutive spans of each document's units, the unit before the first (an end, at the start) in front."""
+    for batch in batches:
+        keys, spans = [], []
+        for key, data in zip(np.array(batch.column("mark"), np.int64).tolist(), batch.column("units").to_pylist(), strict=True):
+            units = np.concatenate([[END], np.frombuffer(data, np.int16)]).astype(np.int16)
+            cut = [units[k : k + SPAN + 1].tobytes() for k in range(0, len(units) - 1, SPAN)]
+            keys += mix(np.uint64(key & (1 << 64) - 1) + np.arange(len(cut), dtype=np.uint64)).view(np.int64).tolist()
+            spans += cut
+        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(spans, pa.binary())], names=["key", "span"])
+
+
+def _learn(shared, start, rate: float):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = _unpack(start.value)
+        lanes = _Lanes([np.frombuffer(x, np.int16) for x in pdf.sort_values(["key", "span"])["span"]])
+        _train(own, shared.value, lanes, rate)
+        return pd.DataFrame({"shard": [key[0]], "tokens": [lanes.tokens], "weights": [_pack(own)]})
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            t = Tokens(batch.column("text"))
-            ids = np.array(batch.column("doc_id").fill_null(0), np.int64).astype(np.uint64)
-            # a place in the document that its id fixes; the token before the first is an end
-            start = (mix(ids) % np.maximum(t.counts - size + 2, 1).astype(np.uint64)).astype(np.int64) - 1
-            # units of the span's tokens; one token more in front tells whether the first is a repetition
-            at = t.first[:-1, None] + start[:, None] + np.arange(-1, size)
-            inside = (at >= t.first[:-1, None]) & (at < t.first[1:, None])
-            part = Tokens.__new__(Tokens)
-            part.hash, part.bucket = np.where(inside, t.hash[at % len(t.hash)], 0).ravel(), t.bucket[at % len(t.hash)].ravel()
-            part.first = np.arange(0, len(part.hash) + 1, size + 1)
-            got = shared.value.look_up(part)[0].reshape(-1, size + 1)[:, 1:]
-            got[at[:, 1:] >= t.first[1:, None]] = -1
-            got[start < 0, 0] = END
-            yield pa.record_batch([pa.array([x.astype(np.int16).tobytes() for x in got], pa.binary())], names=["span"])
-
-    spans = materialize(rows.mapInArrow(cut, "span binary"))
+    return run
+
+
+def train(encoded: DataFrame, v: Vocabulary, tokens: int) -> dict:
+    """Weights of the recurrent model after one pass over all units of encoded (mark long, units binary)."""
+    spark = encoded.sparkSession
+    shared = spark.sparkContext.broadcast(v)
+    shards = max(1, -(-tokens // (SHARD_TOKENS * len(RATES))))
+    spans = encoded.select("mark", "units").mapInArrow(_spans, "key long, span binary")
+    spans = spans.withColumn("turn", F.pmod("key", F.lit(len(RATES)))).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
     weights = initial(v)
-    for turn in range(ROUNDS):
-        start = spark.sparkContext.broadcast((_pack(weights), 0.01 if turn == 0 else 0.004, turn))
-
-        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            data, rate, turn = start.value
-            task = TaskContext.get().partitionId()
-            units = np.concatenate([np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, size) for b in batches if b.num_rows] or [np.zeros((0, size), np.int16)])
-            if len(units):
-                own = _unpack(data)
-                n = _train(own, shared.value, units.astype(np.int32), 1000 * turn + task, rate)
-                yield pa.record_batch([pa.array([task]), pa.array([n]), pa.array([_pack(own)], pa.binary())], names=["task", "tokens", "weights"])
-
-        trained = spans.mapInArrow(run, "task long, tokens long, weights binary")
-        group = F.floor(F.sqrt(F.col("task"))).alias("g")  # about the root of the tasks, in each about the root
-        means = trained.groupBy(group).applyInPandas(_average, "tokens long, weights binary").toPandas()
+    for turn, rate in enumerate(RATES):
+        schema, learn = "shard long, tokens long, weights binary", _learn(shared, spark.sparkContext.broadcast(_pack(weights)), rate)
+        means, left = spans.where(F.col("turn") == turn).groupBy("shard").applyInPandas(learn, schema), shards
+        while left > FAN_IN:
+            means, left = means.groupBy(F.expr(f"shard div {FAN_IN}")).applyInPandas(_average, schema), -(-left // FAN_IN)
+        means = means.toPandas()  # at most FAN_IN models
         if len(means):
             weights = _unpack(_average((), means)["weights"][0])
     return weights
 
 
-def _lanes(counts: np.ndarray) -> list[list[int]]:
-    """Texts dealt to lanes of about equal length, longest first."""
-    n = int(np.clip(counts.sum() // max(int(counts.max(initial=1)), 1), 1, 256))
+def _dealt(counts: np.ndarray, n: int) -> list[list[int]]:
+    """Texts dealt to n lanes of about equal length, longest first."""
     lanes: list[list[int]] = [[] for _ in range(n)]
-    load = np.zeros(n, np.int64)
-    for k in np.argsort(-counts, kind="stable"):
-        lane = int(load.argmin())
-        lanes[lane].append(int(k))
-        load[lane] += counts[k]
+    heap = [(0, k) for k in range(n)]
+    for k in np.argsort(-counts, kind="stable").tolist():
+        load, lane = heap[0]
+        lanes[lane].append(k)
+        heapq.heapreplace(heap, (load + int(counts[k]), lane))
     return lanes
 
 
 def _unit_scores(w: dict, v: Vocabulary, units: np.ndarray, first: np.ndarray, window: int = 160) -> np.ndarray:
     """Natural log of P(class) P(unit | class) at every token; each text starts from the empty state after an end."""
     counts = np.diff(first)
-    lanes = _lanes(counts)
+    lanes = _dealt(counts, int(np.clip(counts.sum() // max(int(counts.max(initial=1)), 1), 1, 256)))
     place = np.full((int(max(counts[lane].sum() for lane in lanes)), len(lanes)), -1, np.int32)
     for k, lane in enumerate(lanes):
         at = np.concatenate([np.arange(first[i], first[i + 1]) for i in lane] or [np.zeros(0, np.int64)])
@@ -452,18 +467,18 @@ def _unit_scores(w: dict, v: Vocabulary, units: np.ndarray, first: np.ndarray, w
     return out
 
 
-_SCORED = "row long, doc_id long, n_tokens long, n_known long, base_sum double, model_sum double, rare binary"
+_ENCODED = "row long, doc_id long, mark long, learn boolean, n_tokens long, n_known long, base_sum double, inside_sum double, rare binary, units binary"
+_KEYS = ["row", "doc_id", "mark", "learn"]
 
 
-def _scores(v, weights):
-    """Per document what its task knows of the sums; rare: hashes, counts and non-repeats of words not at hand."""
+def _encode(v):
+    """Per document its units and what is known of the sums; rare: hashes, counts and non-repeats of words not at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, w = v.value, _unpack(weights.value)
-        for batch in pooled(batches, POOL):
+        voc = v.value
+        for batch in pooled(batches, POOL[0]):
             t = Tokens.of_batch(batch)
             unit, known, inside = voc.look_up(t)
-            logp = _unit_scores(w, voc, unit, t.first) / np.log(10) + inside
             count = np.where(known >= 0, voc.count[known] if len(voc.count) else 0, 0)
             owner = np.repeat(np.arange(len(t.counts)), t.counts)
             miss = np.flatnonzero(known < 0)
@@ -475,9 +490,27 @@ def _scores(v, weights):
             record = np.zeros(len(new), _RARE)
             record["hash"], record["tf"], record["own"] = h[new], tf, own
             cut = np.searchsorted(o[new], np.arange(len(t.counts) + 1))
-            sums = [np.bincount(owner, weights=x, minlength=len(t.counts)) for x in ((known >= 0).astype(float), np.log10(count + 1.0), logp)]
+            sums = [np.bincount(owner, weights=x, minlength=len(t.counts)) for x in ((known >= 0).astype(float), np.log10(count + 1.0), inside)]
             rare = [record[cut[k] : cut[k + 1]].tobytes() for k in range(len(t.counts))]
-            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(t.counts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(rare, pa.binary())], names=["row", "doc_id", "n_tokens", "n_known", "base_sum", "model_sum", "rare"])
+            units = [x.tobytes() for x in np.split(unit.astype(np.int16), t.first[1:-1])]
+            columns = [pa.array(t.counts), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array(rare, pa.binary()), pa.array(units, pa.binary())]
+            yield pa.record_batch([*(batch.column(k) for k in _KEYS), *columns], names=[*_KEYS, "n_tokens", "n_known", "base_sum", "inside_sum", "rare", "units"])
+
+    return run
+
+
+def _scores(v, weights):
+    """Per document log10 P of its tokens by the model, as far as it is known without the counts of rare words."""
+    keep = ["row", "doc_id", "n_tokens", "n_known", "base_sum"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, w = v.value, _unpack(weights.value)
+        for batch in pooled(batches, POOL[1], "units"):
+            counts = np.array(batch.column("n_tokens"), np.int64)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            units = np.frombuffer(b"".join(batch.column("units").to_pylist()), np.int16).astype(np.int32)
+            logp = np.add.reduceat(_unit_scores(w, voc, units, first), first[:-1]) / np.log(10)
+            yield pa.record_batch([*(batch.column(k) for k in keep), pa.array(logp + np.array(batch.column("inside_sum")))], names=[*keep, "model_sum"])
 
     return run
 
@@ -498,17 +531,21 @@ def score(docs: DataFrame, training) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     training: Column over doc_id, true for documents to learn from. Null text counts as empty: one token, the end.
-    An empty table gives no rows; with no training documents every word is unknown and scores stay finite.
+    Texts of any length are counted, learned from and scored whole; repeated rows each count and are scored each. An
+    empty table gives no rows; with no training documents every word is unknown and scores stay finite. Further columns
+    of any name are not looked at.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs)
-    learn = rows.where(training)
-    counts = materialize(token_counts(learn))
+    counts = materialize(token_counts(rows.where(training)))
     v, least = vocabulary_of(counts)
-    weights = train(learn, v)
-    shared, packed = spark.sparkContext.broadcast(v), spark.sparkContext.broadcast(_pack(weights))
-    scored = materialize(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_scores(shared, packed), _SCORED))
-    rare = scored.where(F.length("rare") > 0).select("row", "rare").mapInArrow(_spread, "row long, hash long, tf int, own int")
+    shared = spark.sparkContext.broadcast(v)
+    marked = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("mark", F.xxhash64("doc_id", "text")).withColumn("learn", F.coalesce(training, F.lit(False)))
+    encoded = materialize(marked.mapInArrow(_encode(shared), _ENCODED))
+    weights = train(encoded.where("learn"), v, v.total)
+    packed = spark.sparkContext.broadcast(_pack(weights))
+    scored = encoded.select("row", "doc_id", "n_tokens", "n_known", "base_sum", "inside_sum", "units").mapInArrow(_scores(shared, packed), "row long, doc_id long, n_tokens long, n_known long, base_sum double, model_sum double")
+    rare = encoded.where(F.length("rare") > 0).select("row", "rare").mapInArrow(_spread, "row long, hash long, tf int, own int")
     lower = counts.where(F.col("n") < least).select("hash", F.col("n").alias("c"))
     more = rare.join(lower, "hash").groupBy("row").agg(F.sum("tf").alias("k"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("base"), F.sum(F.col("own") * F.log10(F.col("c") + 1.0)).alias("model"))
     base_size = F.log10(F.lit(float(v.total + v.distinct + 1)))
