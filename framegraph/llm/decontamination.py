@@ -4,10 +4,11 @@ A window of a benchmark item (10 consecutive words, or a whole shorter item) is
 words. A document span can only contain the window if it contains every token, so the necessary prefix of the
 window is its one rarest word; rarity is counted over all documents. Documents meet windows on that word alone.
 A meeting proposes one place (position of the document's word less the word's place in the window), must leave
-room for the window's length on both sides, and is then verified word by word.
+room for the window's length on both sides, and is then verified word by word on the bytes of the words.
 
 The benchmark is joined block by block: a block has at most BLOCK_WINDOWS windows, which bounds what is broadcast;
-a larger benchmark takes more passes over the documents, whose hits are merged.
+a larger benchmark takes more passes over the documents (written once, so that all passes number rows alike), whose
+hits are merged.
 """
 
 from __future__ import annotations
@@ -19,28 +20,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, id_and_text, slices, table, text_marks, without
+from .common import ALNUM, Words, id_and_text, materialize, slices, table, text_marks, without
 
 SIZE = 10
 #: Windows in a block, at most about 160 bytes each when broadcast.
 BLOCK_WINDOWS = 200_000
 
-_ITEM_WINDOWS = "item_id long, length int, words array<long>"
+_ITEM_WINDOWS = "item_id long, words string"
 
 
 def _windows(size: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = Words(batch.column("text"), ALNUM, lower=True)
-            hashes, items, lengths, found = w.hash.view(np.int64), batch.column("doc_id").to_pylist(), [], []
-            owners = []
+            items, owners, found = batch.column("doc_id").to_pylist(), [], []
             for k, item in enumerate(items):
                 lo, hi = w.first[k], w.first[k + 1]
-                for at in range(lo, max(lo + 1, hi - size + 1)) if hi > lo else ():
-                    found.append(hashes[at : min(at + size, hi)])
-                    owners.append(item)
-                    lengths.append(len(found[-1]))
-            yield pa.record_batch([pa.array(owners, pa.int64()), pa.array(lengths, pa.int32()), pa.array(found, pa.list_(pa.int64()))], names=["item_id", "length", "words"])
+                words = [w.data[a:b].tobytes().decode() for a, b in zip(w.starts[lo:hi], w.ends[lo:hi], strict=True)]
+                mine = [" ".join(words[at : at + size]) for at in range(max(1, len(words) - size + 1))] if words else []
+                found += mine
+                owners += [item] * len(mine)
+            yield pa.record_batch([pa.array(owners, pa.int64()), pa.array(found, pa.string())], names=["item_id", "words"])
 
     return cut
 
@@ -48,23 +48,24 @@ def _windows(size: int):
 class _Block:
     """Distinct windows with the items that hold each, found by their rarest word."""
 
-    def __init__(self, rows: list, frequency: dict[int, int]):
-        items: dict[tuple[int, ...], set] = {}
+    def __init__(self, rows: list):
+        items: dict[str, set] = {}
         for item, words in rows:
-            items.setdefault(tuple(words), set()).add(item)
-        self.windows = list(items)
-        self.items = [sorted(items[x], key=lambda i: -(1 << 63) if i is None else i) for x in self.windows]
-        # the rarest word of each window, the earliest of equally rare ones
-        places = [min(range(len(x)), key=lambda j: (frequency.get(x[j], 0), j)) for x in self.windows]
-        prefix = np.array([x[j] for x, j in zip(self.windows, places, strict=True)], np.int64)
-        order = np.argsort(prefix, kind="stable")
-        self.prefix = prefix[order]
-        self.of = order
-        self.place = np.array(places, np.int64)
-        self.length = np.array([len(x) for x in self.windows], np.int64)
-        self.words = np.zeros((len(self.windows), int(self.length.max(initial=1))), np.int64)
-        for k, x in enumerate(self.windows):
-            self.words[k, : len(x)] = x
+            items.setdefault(words, set()).add(item)
+        self.items = [sorted(x, key=lambda i: -(1 << 63) if i is None else i) for x in items.values()]
+        self.words = Words(pa.array(list(items), pa.string()), ALNUM, lower=False)
+        self.first, self.length = self.words.first[:-1], np.diff(self.words.first)
+
+    def order_by(self, frequency: dict[int, int]) -> None:
+        """Each window goes by its rarest word, the earliest of equally rare ones."""
+        hashes = self.words.hash.view(np.int64)
+        known, number = np.unique(hashes, return_inverse=True)
+        times = np.array([frequency.get(x, 0) for x in known.tolist()], np.int64)[number] if len(known) else known
+        owner = self.words.owner()
+        rarest = np.lexsort((np.arange(len(owner)), times, owner))[self.first] if len(owner) else self.first
+        self.place = rarest - self.first
+        self.of = np.argsort(hashes[rarest], kind="stable")
+        self.prefix = hashes[rarest][self.of]
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(window, word place) of each verified containment."""
@@ -79,11 +80,15 @@ class _Block:
         doc = owner[at]
         fits = (start >= w.first[doc]) & (start + self.length[window] <= w.first[doc + 1])
         window, start = window[fits], start[fits]
-        same = np.ones(len(window), bool)
-        for j in range(self.words.shape[1]):
-            live = np.flatnonzero(same & (self.length[window] > j))
-            same[live] = words[start[live] + j] == self.words[window[live], j]
-        return window[same], start[same]
+        for j in range(int(self.length.max(initial=0))):
+            longer = np.flatnonzero(self.length[window] > j)
+            there, mine = start[longer] + j, self.first[window[longer]] + j
+            maybe = w.hash[there] == self.words.hash[mine]
+            maybe[maybe] = w.same(there[maybe], self.words, mine[maybe])
+            keep = np.ones(len(window), bool)
+            keep[longer[~maybe]] = False
+            window, start = window[keep], start[keep]
+        return window, start
 
 
 def _frequencies(docs: DataFrame, vocabulary) -> DataFrame:
@@ -135,8 +140,9 @@ def _matched(docs: DataFrame, block) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (hit words [from, to)), items (item ids met, sorted as strings).
 
-    Null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated documents give
-    repeated rows, repeated items count once. Items of fewer than `size` words, but at least one, are one window.
+    Null or empty texts have no words and no hits; an empty benchmark hits nothing; an empty table gives no rows; texts of
+    any length are read whole; repeated documents give repeated rows, repeated items count once. Items of fewer than `size`
+    words, but at least one, are one window. Further columns of any name are not looked at.
     """
     found = _found(id_and_text(docs), benchmark, size, block_windows)
     return found.select("doc_id", "n_words", "spans", F.expr("array_sort(transform(items, x -> cast(x as string)))").alias("items"))
@@ -145,16 +151,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block
 def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_windows: int) -> DataFrame:
     """docs (text and columns of type long) without text, with n_words, spans and items of each row."""
     spark = docs.sparkSession
-    rows = docs.withColumn("row", F.monotonically_increasing_id())
-    cut = id_and_text(benchmark, "item_id").mapInArrow(_windows(size), _ITEM_WINDOWS)
+    cut = id_and_text(benchmark, "item_id").mapInArrow(_windows(size), _ITEM_WINDOWS).distinct()
     n = cut.count()
     blocks = -(-n // block_windows)
+    rows = docs.withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(rows) if blocks > 1 else rows
     found = None
     for k in range(max(blocks, 1)):
-        mine = [(r.item_id, r.words) for r in (cut.where(F.pmod(F.hash("words"), F.lit(blocks)) == k) if blocks > 1 else cut).toLocalIterator()]
-        words = spark.sparkContext.broadcast(np.unique(np.array([x for _, w in mine for x in w] or [0], np.int64)))
-        frequency = {r.word: r.n for r in _frequencies(rows, words).collect()} if mine else {}
-        part = _matched(rows, spark.sparkContext.broadcast(_Block(mine, frequency)))
+        block = _Block([(r.item_id, r.words) for r in (cut.where(F.pmod(F.hash("words"), F.lit(blocks)) == k) if blocks > 1 else cut).toLocalIterator()])
+        frequency = {r.word: r.n for r in _frequencies(rows, spark.sparkContext.broadcast(np.unique(block.words.hash.view(np.int64)))).collect()} if block.items else {}
+        block.order_by(frequency)
+        part = _matched(rows, spark.sparkContext.broadcast(block))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
         both = found.groupBy(*(c for c in rows.columns if c != "text")).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -172,7 +179,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, size: int, block_windows: int)
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.0) -> DataFrame:
     """docs, all columns, without documents of which more than `share` of the words is hit.
 
-    Each row is judged by its own text, whatever other rows have its doc_id.
+    Each row is judged by its own text, whatever other rows have its doc_id; repeated rows go or stay together. Null and
+    empty texts stay, as does all where the benchmark is empty.
     """
     m1, m2 = text_marks(F.col("text"))
     hit = _found(id_and_text(docs).withColumn("m1", m1).withColumn("m2", m2), benchmark, SIZE, BLOCK_WINDOWS)
