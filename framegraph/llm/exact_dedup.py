@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, if_small, materialize, table
+from .common import BROADCAST_ROWS, id_and_text, if_small, materialize, table
 
 _UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Distinct digests that a map task holds before it hands them on.
-LOCAL_LIMIT = 500_000
+#: Distinct digests that a map task holds before it hands them on, and rows that a shard indexes.
+LOCAL_LIMIT = SHARD_ROWS = 500_000
+#: Copies from which a group is joined with its rows apart from all others, without a shuffle.
+HOT = 10_000
 #: Stands for a null doc_id, below all others.
 _NO_ID = -(1 << 63)
 
@@ -178,26 +180,46 @@ def digests(docs: DataFrame) -> DataFrame:
     return materialize(found.mapInArrow(_digest, "row long, doc_id long, digest binary"))
 
 
+def _shards(spark, rows: int) -> int:
+    """Shards grow with the rows, so that no index does."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SHARD_ROWS))
+
+
 def groups(digested: DataFrame) -> DataFrame:
     """(digest, keep_id, keep_row, group_size), one row per distinct text."""
     own = digested.select("digest", F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     local = own.mapInArrow(lambda it: _index(it, LOCAL_LIMIT), _GROUP_DDL)
-    return local.repartition("digest").mapInArrow(lambda it: _index(it, None), _GROUP_DDL)
+    return local.repartition(_shards(digested.sparkSession, digested.count()), "digest").mapInArrow(lambda it: _index(it, None), _GROUP_DDL)
+
+
+def _with_group(digested: DataFrame, found: DataFrame) -> DataFrame:
+    """digested with its group; rows of very large groups do not meet in one task."""
+    hot = found.where(F.col("group_size") >= HOT)
+    n = hot.count()
+    if not 0 < n <= BROADCAST_ROWS:
+        return digested.join(found, "digest")
+    hot = F.broadcast(hot)  # counted: at most BROADCAST_ROWS
+    rest = digested.join(hot, "digest", "left_anti").join(found.where(F.col("group_size") < HOT), "digest")
+    return digested.join(hot, "digest").unionByName(rest)
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (null ids rank below all others; of repeated rows
-    with that id exactly one stays). Null text counts as empty. An empty table gives no rows.
+    with that id exactly one stays). Null text counts as empty; texts of any length are digested whole. An empty table
+    gives no rows. Further columns of any name are not looked at.
     """
     digested = digests(docs)
-    joined = digested.join(groups(digested), "digest")
+    joined = _with_group(digested, materialize(groups(digested)))
     return joined.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without all but one row of each group of equal texts (which: see exact_groups)."""
+    """docs, all columns, without all but one row of each group of equal texts (which: see exact_groups).
+
+    All null and empty texts are one group; an empty table gives no rows; columns of any name go through unchanged.
+    """
     mark = "_digest"
     while mark in docs.columns:
         mark = "_" + mark
@@ -215,7 +237,7 @@ def drop_exact_copies(docs: DataFrame) -> DataFrame:
     same_id = lambda other: marked["doc_id"].cast("long").eqNullSafe(other)
     repeated = digested.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     if repeated.isEmpty():  # (digest, doc_id) tells rows apart: those that go are fewer than those that stay
-        gone = digested.join(stay, "digest").where("row != keep_row").select(F.col("digest").alias("_gone"), F.col("doc_id").alias("_id"))
+        gone = _with_group(digested, stay).where("row != keep_row").select(F.col("digest").alias("_gone"), F.col("doc_id").alias("_id"))
         gone = if_small(materialize(gone))
         return marked.join(gone, (marked[mark] == gone["_gone"]) & same_id(gone["_id"]), "left_anti").drop(mark)
     stay = stay.select(F.col("digest").alias("_stay"), F.col("keep_id").alias("_keep"))
@@ -253,7 +275,8 @@ def apply_changes(changes: DataFrame) -> DataFrame:
         yield pa.record_batch([pa.array([r[0] for r in live], pa.binary()), pa.array([sorted(r[1]) for r in live], pa.list_(pa.int64()))], names=["digest", "doc_ids"])
 
     log = changes.select(F.col("seq").cast("long"), F.col("op").cast("string"), F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = log.mapInArrow(digested, "seq long, op string, doc_id long, digest binary").repartition("digest").sortWithinPartitions("seq")
+    shards = _shards(changes.sparkSession, changes.count())
+    dealt = log.mapInArrow(digested, "seq long, op string, doc_id long, digest binary").repartition(shards, "digest").sortWithinPartitions("seq")
     return dealt.mapInArrow(replay, "digest binary, doc_ids array<long>")
 
 
