@@ -5,7 +5,8 @@ sketch (saturating at two). A sketch that fits all windows does not fit one mach
 counters, and a block sends to each range only the counters that it touched. Each range merges the blocks'
 partial sketches and answers every block: which of your counters reached two.
 Pass 2 groups. A window whose counters all reached two may repeat (the sketch never underestimates, so none is
-lost); just these windows, one row per block and window, are grouped exactly, to find where each starts first.
+lost); just these windows, one row per block and window, are grouped exactly, to find where each starts first. A window
+goes by two independent 64-bit hashes of its words, each made of hashes of the words' bytes.
 Pass 3 removes words covered by windows that start earlier elsewhere.
 
 No stage sends a row per occurrence: a passage found in a third of all documents costs one entry per block.
@@ -39,17 +40,19 @@ class _Block:
     def __init__(self, pdf: pd.DataFrame, size: int):
         pdf = pdf.sort_values(["doc_id", "tie"])
         self.doc_id, self.text = pdf["doc_id"].to_numpy(np.int64), pdf["text"].tolist()
-        hashes, counts = [], []
+        self.tie, self.times = pdf["tie"].to_numpy(np.int64), pdf["times"].to_numpy(np.int64)
+        hashes, second, counts = [], [], []
         for part in slices(iter([pa.record_batch([pa.array(self.text, pa.string())], names=["text"])])):
             w = Words(part.column(0), WHITE, lower=False)
             hashes.append(w.hash)
+            second.append(w.second)
             counts.append(w.counts())
-        words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        words, others = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, second))
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
         owner = np.repeat(np.arange(len(self.counts)), self.counts)
         self.a, self.at = runs(words, owner, size)
-        self.b = runs(mix(words ^ np.uint64(0xA0761D6478BD642F)), owner, size)[0].astype(np.uint32)
+        self.b = runs(others, owner, size, 0xA0761D6478BD642F)[0]
         self.owner = owner[self.at] if len(owner) else owner
 
     def counters(self, depth: int, width: int) -> np.ndarray:
@@ -135,30 +138,40 @@ def _unpacked(n: int, data: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw, k, n, n * sum(widths[:i])) for i, k in enumerate(kinds)]
 
 
-def _candidates(width: int, size: int, parts: int):
+def _candidates(width: int, size: int, parts: int, shared: bool):
     def run(key: tuple, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         block = _Block(docs, size)
         maybe = _repeated(block, answers, width)
         firsts, number = _distinct(block, maybe)
-        a, b, doc = block.a[firsts], block.b[firsts], block.doc_id[block.owner[firsts]]
+        a, b, owner = block.a[firsts], block.b[firsts], block.owner[firsts]
+        places = [block.doc_id[owner], block.tie[owner]] if shared else [block.doc_id[owner]]
         more = (np.bincount(number, minlength=len(firsts)) > 1).astype(np.uint8)
         part = (a % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        out = [(p, key[0], e - s, _packed(a[o], b[o], doc[o], more[o])) for p, s, e in _cuts(part[order]) for o in [order[s:e]]]
+        out = [(p, key[0], e - s, _packed(a[o], b[o], more[o], *(x[o] for x in places))) for p, s, e in _cuts(part[order]) for o in [order[s:e]]]
         return pd.DataFrame(out, columns=["part", "block", "n", "records"])
 
     return run
 
 
-def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
+def _decide(shared: bool):
     """Exact groups of one range of windows: per block those that do repeat, and whether the first start is its own.
 
-    Documents of one id share a block, so between blocks the smallest doc_id alone decides.
+    Rows of one doc_id share a block, so between blocks the smallest doc_id alone decides; where doc_ids are shared,
+    rows of one doc_id and text do, and doc_id and tie decide.
     """
-    columns = [_unpacked(n, x, "<u8", "<u4", "<i8", "u1") for n, x in zip(pdf["n"], pdf["records"], strict=True)]
-    a, b, doc, more = (np.concatenate(x) for x in zip(*columns, strict=True))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _decided(pdf, shared)
+
+    return run
+
+
+def _decided(pdf: pd.DataFrame, shared: bool) -> pd.DataFrame:
+    columns = [_unpacked(n, x, "<u8", "<u8", "u1", "<i8", *(["<i8"] if shared else [])) for n, x in zip(pdf["n"], pdf["records"], strict=True)]
+    a, b, more, *places = (np.concatenate(x) for x in zip(*columns, strict=True))
     source = np.repeat(np.arange(len(columns)), pdf["n"])
-    order = np.lexsort((doc, b, a))
+    order = np.lexsort((*reversed(places), b, a))
     a, b, more, source = a[order], b[order], more[order], source[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
@@ -197,7 +210,15 @@ def _remove(size: int):
             if removed[k]:
                 words = compress(words, (~gone[block.first[k] : block.first[k + 1]]).tolist())
             kept.append(b" ".join(words).decode())
-        return pd.DataFrame({"doc_id": block.doc_id, "n_words": block.counts, "n_removed": removed, "kept_text": kept})
+        out = pd.DataFrame({"doc_id": block.doc_id, "n_words": block.counts, "n_removed": removed, "kept_text": kept, "times": 1})
+        # of rows equal in doc_id and text, all but the first lose every window
+        again = np.flatnonzero(block.times > 1)
+        if not len(again):
+            return out
+        long = block.counts[again] >= size
+        whole = ["" if x else b" ".join(block.text[k].encode().split()).decode() for k, x in zip(again.tolist(), long, strict=True)]
+        rest = pd.DataFrame({"doc_id": block.doc_id[again], "n_words": block.counts[again], "n_removed": np.where(long, block.counts[again], 0), "kept_text": whole, "times": block.times[again] - 1})
+        return pd.concat([out, rest])
 
     return run
 
@@ -206,7 +227,9 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (words left, joined by one space).
 
     A word goes if a window of `size` words covers it whose words also start earlier (smaller doc_id, or earlier
-    in the same document; null ids come first, repeated ids in a fixed order). Null or empty texts have no words.
+    in the same document; null ids come first, repeated ids in a fixed order, and of rows equal in doc_id and text all
+    but one lose every window). Null or empty texts have no words; texts of any length are read whole; an empty table
+    gives no rows; further columns of any name are not looked at.
     """
     spark = docs.sparkSession
     rows = id_and_text(docs)
@@ -215,16 +238,23 @@ def without_repeats(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     windows = max(about["bytes"] // 6, 1)
     width = 1 << max(RANGE_BITS, int(np.ceil(np.log2(windows * PER_WINDOW))))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // 4_000_000))
-    # all rows of one doc_id fall into one block, which orders them by (doc_id, tie)
     rows = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n_blocks)))
+    # rows of one doc_id fall into one block, which orders them; where doc_ids are shared, rows equal in doc_id and text
+    # are counted first and the others spread, so that rows without an id are not one block
+    shared = not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if shared:
+        rows = rows.groupBy("doc_id", "tie", "text").agg(F.count("*").alias("times"))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(5)), F.lit(n_blocks)))
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n_blocks)))
     blocks = rows.groupBy("block")
     sketched = blocks.applyInPandas(_sketch(width, size), "depth int, part long, block long, cells binary")
     answers = sketched.groupBy("depth", "part").applyInPandas(_merge, "block long, depth int, part long, bits binary")
-    candidates = blocks.cogroup(answers.groupBy("block")).applyInPandas(_candidates(width, size, parts), "part long, block long, n long, records binary")
-    decided = candidates.groupBy("part").applyInPandas(_decide, "block long, n long, windows binary")
-    kept = blocks.cogroup(decided.groupBy("block")).applyInPandas(_remove(size), "doc_id long, n_words long, n_removed long, kept_text string")
-    return kept.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_ID}L)"))
+    candidates = blocks.cogroup(answers.groupBy("block")).applyInPandas(_candidates(width, size, parts, shared), "part long, block long, n long, records binary")
+    decided = candidates.groupBy("part").applyInPandas(_decide(shared), "block long, n long, windows binary")
+    kept = blocks.cogroup(decided.groupBy("block")).applyInPandas(_remove(size), "doc_id long, n_words long, n_removed long, kept_text string, times long")
+    out = kept.select(F.expr(f"nullif(doc_id, {NO_ID}L)").alias("doc_id"), "n_words", "n_removed", "kept_text", "times")
+    return out.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times") if shared else out.drop("times")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
