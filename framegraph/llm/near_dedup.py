@@ -266,7 +266,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     Documents without words (null or empty text too) are alone in their class, as are all that have no link.
     Repeated rows share a class; different texts under one doc_id, or with a null one, are different documents,
-    though their classes may go by the same id. A null doc_id counts as the smallest.
+    though their classes may go by the same id. A null doc_id counts as the smallest. Texts of any length are read whole,
+    a similarity of exactly 0.8 is a link, an empty table gives no rows; further columns of any name are not looked at.
     """
     return _classed(docs).select("doc_id", "class_id")
 
@@ -274,7 +275,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document (the smallest doc_id) of each class of near duplicates.
 
-    Texts that are not near duplicates all stay, whatever their doc_ids. Of rows equal in doc_id and text one stays.
+    Texts that are not near duplicates all stay, whatever their doc_ids. Of rows equal in doc_id and text one stays. Null
+    and empty texts have no words and no copies, but as rows equal in doc_id and text. An empty table gives no rows.
     """
     classed = materialize(_classed(docs))
     head = F.col("doc_id").eqNullSafe(F.col("class_id"))

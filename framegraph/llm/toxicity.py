@@ -110,7 +110,11 @@ def _fit_ordinal(rows: list[np.ndarray], grade: np.ndarray, n: int, steps: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from at most `sample` labelled rows; without rows of both labels, one that rejects nothing."""
+    """The model from at most `sample` labelled rows; without rows of both labels, one that rejects nothing.
+
+    Rows without a label or an id are left out; of a doc_id's labels the largest counts. Equal probabilities are never
+    parted by the cut.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -176,7 +180,9 @@ _SCORES = "p_toxic double, severity double, toxic boolean"
 def severity(docs: DataFrame, model: Model) -> DataFrame:
     """docs' doc_id with p_toxic = P(grade >= 1), severity (expected grade, 0 to 3) and toxic (p_toxic at the cut or above).
 
-    Null and empty texts have no features: the base rate's severity. Repeated rows are scored each.
+    Null and empty texts have no features: the severity that the thresholds alone give. Texts of any length are read whole,
+    each feature counts once however often it occurs; repeated rows are scored each; an empty table gives no rows. Further
+    columns of any name are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -189,7 +195,11 @@ def severity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the documents that the model calls toxic."""
+    """docs, all columns, without the documents that the model calls toxic.
+
+    Rows are judged by their own text, whatever their other columns hold or are called; null and empty texts are judged by
+    the thresholds alone. Without labels of both kinds, or for an empty table, nothing is rejected.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")

@@ -186,10 +186,7 @@ def test_quality_gradients():
     texts, y = [bytes(rng.integers(32, 120, n).tolist()) for n in (700, 30, 1500)], np.array([1.0, 0.0, 1.0])
     data, owner = quality.chunks(texts)
 
-    def loss():
-        z = quality._forward(w, data, owner, 3)[-1]
-        return float((np.log1p(np.exp(z)) - y * z).mean())
-
+    loss = lambda: quality.loss(w, data, owner, y)
     g = quality._gradients(w, data, owner, y, np.ones(3))
     for name in w:
         at = tuple(rng.integers(0, n) for n in w[name].shape) if name != "E" else (int(data[0, 5]), 2)
@@ -212,7 +209,7 @@ def test_quality_covers_the_whole_text():
 
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(2, 1, 0), (3, 0, 1), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int")
-    w = quality.train(odd, labels, F.lit(True))
+    w = quality.train(odd, labels, F.lit(True), steps=5)
     out = quality.score(odd, w).collect()
     assert len(out) == odd.count() and all(0 <= r["score"] <= 1 for r in out)
     assert quality.score(none, quality.train(none, labels, F.lit(True))).count() == 0
@@ -531,3 +528,334 @@ def test_repeats_do_not_change_what_is_banded():
     x, y = (set(extra.ids[extra.first[k] : extra.first[k + 1]].tolist()) for k in (0, 1))
     assert len(x & y) / len(x | y) > 0.98
     assert sum(p == q for p, q in zip(a, b, strict=True)) > 12
+
+
+def test_links_stay_linear_in_a_group_without_a_centre(spark, monkeypatch):
+    """Members that link to few others: tiles give forests, so links follow members, and classes equal brute force."""
+    monkeypatch.setattr(near_dedup, "TILE", 64)
+    seen = {}
+    real = near_dedup.components
+
+    def counted(edges):
+        seen["links"] = max(seen.get("links", 0), edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(near_dedup, "components", counted)
+    rng = np.random.default_rng(12)
+    for n in (500, 1000, 2000):
+        seen.clear()
+        sets = [frozenset(rng.choice(100, 80, replace=False).tolist()) | {1000 + k // 3} for k in range(n)]
+        members = spark.createDataFrame([(1, k, len(x)) for k, x in enumerate(sets)], "key long, rep long, n long")
+        data = spark.createDataFrame([(k, bytearray(np.sort(np.array(list(x), np.uint64)).tobytes())) for k, x in enumerate(sets)], "rep long, shingles binary")
+        out = dict(near_dedup.linked_sets(members, data).collect())
+        assert seen["links"] <= 6 * n, (n, seen)
+        held = np.zeros((n, 2000), np.float32)
+        for k, x in enumerate(sets):
+            held[k, list(x)] = 1
+        both = held @ held.T
+        alike = both >= 0.8 * (held.sum(1)[:, None] + held.sum(1)[None] - both)
+        root = np.arange(n)
+        while True:
+            least = np.where(alike, root[None], n).min(1)
+            if (least == root).all():
+                break
+            root = least
+        assert all(out.get(k, k) == root[k] for k in range(n))
+
+
+def morse(n, swap):
+    """Thue-Morse word over a and b: polynomial hashes modulo 2^64 do not tell it from its complement."""
+    return "".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(n))
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    one, two = morse(1024, 0), morse(1024, 1)
+    w = near_dedup.Words(near_dedup.pa.array([one, two, one, "abcdefgh" * 100, "abcdefgh" * 100 + "i"]), decontamination.ALNUM, lower=True)
+    assert len(set(w.hash.tolist())) == 4 == len(set(w.second.tolist())) and w.hash[0] == w.hash[2]
+    assert w.same(np.array([0, 0, 3, 3]), w, np.array([1, 2, 3, 4])).tolist() == [False, True, True, False]
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, " ".join([one] * 30)), (4, " ".join([two] * 30)), (5, " ".join([one] * 30))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    hit = {r["doc_id"] for r in decontamination.contamination(docs, bench).where("size(spans) > 0").collect()}
+    assert hit == {1, 3, 5}
+    kept = {r["doc_id"]: r["n_removed"] for r in substring_dedup.without_repeats(docs).collect()}
+    assert kept == {1: 0, 2: 0, 3: 29, 4: 29, 5: 30}
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert classes == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+def test_hits_are_verified_on_the_words_themselves(spark, monkeypatch):
+    """Even if all words had one hash, only windows whose words are in the document hit."""
+    monkeypatch.setattr(decontamination.Words, "span", lambda self, s, e, which=0: np.ones(len(s), np.uint64))
+    w = decontamination.Words(decontamination.pa.array(["a b c d", "d c b a b c"]), decontamination.ALNUM, lower=True)
+    block = decontamination._Block([(1, "b c"), (2, "c b"), (3, "z")])
+    block.order_by({})
+    assert sorted(zip(*(x.tolist() for x in block.hits(w)), strict=True)) == [(0, 1), (0, 8), (1, 5)]
+
+
+def test_long_runs_pack_like_the_library():
+    import public_tokenizers
+
+    texts = [" " * 2_000_000 + "a", "\n" * 1_500_000, "a" * 1_000_000, "7" * 1_000_000]
+    want = [np.array(tokenizer().encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert packing._Tokens(public_tokenizers.path(packing.TOKENIZER)).ids(texts) == want
+
+
+# op6 by hand -----------------------------------------------------------------------------------------------------
+
+
+def brute_templates(shapes):
+    """{(host, shape): template} from {(host, shape): [n, labelled, blocked]}, node by node."""
+    out = {}
+
+    def walk(host, at, group):
+        rests = [rest for _, rest, _ in group]
+        lo, hi = min(rests), max(rests)
+        shared = len(lo) if lo == hi else next(k for k in range(max(len(lo), len(hi))) if k >= min(len(lo), len(hi)) or lo[k] != hi[k])
+        if shared:
+            at = "/".join([at] * bool(at) + list(lo[:shared]))
+        if lo == hi:
+            for shape, _, _ in group:
+                out[host, shape] = at
+            return
+        rows = [(shape, rest[shared:], c) for shape, rest, c in group]
+        branches, ahead, total = {}, collections.Counter(), np.zeros(3)
+        for _, rest, c in rows:
+            seg, nxt = (*rest, "", "")[:2] if len(rest) < 2 else rest[:2]
+            b = branches.setdefault(seg, [np.zeros(3), collections.Counter()])
+            b[0] += c
+            b[1][nxt] += c[0]
+            ahead[nxt] += c[0]
+            total += c
+        rate = total[2] / max(total[1], 1)
+        names = {}
+        for seg, (c, own) in branches.items():
+            distance = 0.5 * sum(abs(own[x] / c[0] - ahead[x] / total[0]) for x in ahead)
+            r = c[2] / max(c[1], 1)
+            alike = 2 * total[1] >= total[0] if not c[1] else abs(r - rate) <= 2 * math.sqrt(rate * (1 - rate) / max(c[1], 1))
+            if seg and len(branches) > 1 and alike and distance <= url_filter.DISTANCE + 1 / math.sqrt(c[0]):
+                names[seg] = "*"
+            elif seg and len(branches) > url_filter.CHILDREN and c[0] < url_filter.SHARE * total[0]:
+                names[seg] = "*" if alike else "*?" if not c[1] else "*+" if r > rate else "*-"
+            else:
+                names[seg] = seg
+        below = collections.defaultdict(list)
+        for shape, rest, c in rows:
+            name = names[rest[0] if rest else ""]
+            below[f"{at}/{name}" if at else name].append((shape, rest[1:], c))
+        for name, group in below.items():
+            walk(host, name, group)
+
+    for host in {h for h, _ in shapes}:
+        walk(host, "", [(s, s, np.array(c, float)) for (h, s), c in shapes.items() if h == host])
+    return out
+
+
+def brute_verdicts(urls, rules):
+    """(host, path, rule, verdict) of each url."""
+    rows = []
+    for url in urls:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].translate(LOW), m[2]) if m else ("", "")
+        fits = [(len(d + p), (a, d, p)) for a, d, p in rules if (host == d or host.endswith("." + d)) and path.startswith(p)]
+        action, domain, prefix = max(fits)[1] if fits else (None, None, None)
+        plain = re.sub("[0-9]+", "#", re.sub(r"(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "~", path))
+        rows.append((host, path, domain + prefix if fits else None, action, tuple(re.sub("^/", "", plain).split("/"))))
+    shapes, pooled = {}, {}
+    for host, _, _, action, shape in rows:
+        for table, h in ((shapes, host), (pooled, "")):
+            c = table.setdefault((h, shape), [0, 0, 0])
+            c[0] += 1
+            c[1] += action is not None
+            c[2] += action == "block"
+    own, common = brute_templates(shapes), brute_templates(pooled)
+    levels = [collections.defaultdict(lambda: np.zeros(2)) for _ in range(4)]
+    keys = {}
+    for (host, shape), (_, labelled, blocked) in shapes.items():
+        c, domain = common["", shape], ".".join(host.split(".")[-2:])
+        keys[host, shape] = [(host, own[host, shape], c), (domain, c), (c,), (host, c)]
+        for level, key in zip(levels, keys[host, shape], strict=True):
+            level[key] += (blocked, labelled)
+    b, n = sum(c[2] for c in shapes.values()), sum(c[1] for c in shapes.values())
+    share = (b + 0.5 * url_filter.PRIOR) / (n + url_filter.PRIOR) if n else 0.0
+    drawn = lambda c, to: (c[0] + url_filter.PRIOR * to) / (c[1] + url_filter.PRIOR)
+    purity, left_out = {}, {}
+    for at, (k, d, w, h) in keys.items():
+        mine, domain, wide, host = levels[0][k], levels[1][d], levels[2][w], levels[3][h]
+        purity[at] = drawn(mine, drawn(domain, drawn(wide, share)))
+        left_out[at] = drawn(domain - host, drawn(wide - host, share))
+    wrong = [0] * (url_filter.STEPS + 1)
+    for at, (_, labelled, blocked) in shapes.items():
+        step = min(math.floor(left_out[at] * url_filter.STEPS), url_filter.STEPS - 1)
+        for k in range(url_filter.STEPS + 1):
+            wrong[k] += blocked if step < k else labelled - blocked
+    best = [k for k in range(1, url_filter.STEPS + 1) if wrong[k] == min(wrong)]
+    runs = []
+    for k in best:
+        if runs and runs[-1][-1] == k - 1:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    run = max(runs, key=lambda r: (len(r), r[0])) if runs else [url_filter.STEPS]
+    cut = (run[0] + run[-1]) / 2 / url_filter.STEPS if n else 2.0
+    return [(host, path, rule, action or ("block" if purity[host, shape] >= cut else "allow")) for host, path, rule, action, shape in rows]
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """The whole method in plain Python: tree, back-off of purities, cut and verdict, on the tables and on deep paths."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    rng = np.random.default_rng(8)
+    for k in range(400):
+        host = f"{'abc'[k % 3]}.site{k % 2}.{'net' if k % 4 else 'dev'}"
+        urls[10_000 + k] = f"http://{host}/" + "/".join(rng.choice(["es", "fr", "x", "y", f"u{k}", "p"], rng.integers(0, 9))) + ("/" if k % 5 == 0 else "")
+    urls[20_000] = "http://deep.net/" + "s/" * 300
+    urls[20_001] = "http://deep.net/" + "s/" * 300 + "t"
+    df = spark.createDataFrame(list(urls.items()), "page_id long, url string")
+    out = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judged(df).collect()}
+    assert out == dict(zip(urls, brute_verdicts(urls.values(), url_filter.RULES), strict=True))
+    method = collections.Counter(v for _, _, rule, v in out.values() if rule is None)
+    assert method["block"] > 20 and method["allow"] > 20
+
+
+# op7 by hand -----------------------------------------------------------------------------------------------------
+
+
+def test_pii_precision_and_recall_on_planted_spans(spark):
+    """Of planted data that no base pattern holds, most are added; of look-alikes that no one would call personal, few."""
+    rng = np.random.default_rng(13)
+    digits = lambda n: "".join(rng.choice(list("0123456789"), n))
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    words = lambda n: " ".join("".join(rng.choice(list("abdeinorst"), rng.integers(2, 8))) for _ in range(n))
+    card = lambda ok: next(c for c in (digits(16) for _ in range(1000)) if valid("card", c) == ok)
+    texts, hidden, decoys = [], [], []
+    for k in range(600):
+        kind = k % 10
+        plain = [f"mail a{k}.{digits(2)}@mail{k % 7}.example.com now", f"call +1 ({digits(3)}) 555-{digits(4)} now", f"paid {card(True)} now", f"from 10.{k % 250}.3.{k % 200} now", f'token = "{hexes(40)}" now', f"api_key: {hexes(32)} now"]
+        extra = {6: f"b{k} (at) mail{k % 7}.example (dot) com", 7: f"({digits(3)}) 555-{digits(4)}", 8: card(False), 9: f"{k % 9}{digits(7)}"}
+        head = words(5) + (" call " if kind == 7 else " ")
+        text = head + (plain[kind] if kind < 6 else extra[kind]) + " " + words(5)
+        if kind in (6, 7):
+            hidden.append((k, len(head), len(head) + len(extra[kind])))
+        elif kind in (4, 5):
+            secret = plain[kind].split()[-2].strip('"')
+            hidden.append((k, text.index(secret), text.index(secret) + len(secret)))
+        elif kind > 7:
+            decoys.append((k, len(head), len(head) + len(extra[kind])))
+        texts.append((k, text))
+    out = pii.find(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    added = {(r["doc_id"], s["s"], s["e"]) for r in out for s in r["spans"] if s not in r["base"]}
+    found = sum(any(d == i and s < e and b < t for d, b, e in added) for i, s, t in hidden)
+    wrong = sum(any(d == i and s < e and b < t for d, b, e in added) for i, s, t in decoys)
+    assert found >= 0.9 * len(hidden) and wrong <= 0.05 * len(decoys)
+    assert len(added) <= 1.1 * len(hidden)
+
+
+def test_trees_against_brute_force():
+    """The first tree's split is the best of all splits, the margin is the sum of the leaves, calibration never falls."""
+    rng = np.random.default_rng(14)
+    cells = [({"a": int(a), "b": int(b)}, int(rng.integers(20, 60)), 0) for a in range(4) for b in range(3)]
+    cells = [(x, n, int(rng.binomial(n, 0.9 if x["a"] >= 2 and x["b"] else 0.1))) for x, n, _ in cells]
+    model = pii.boost(cells, ["a", "b"], trees=5)
+    n, y = sum(c for _, c, _ in cells), sum(p for _, _, p in cells)
+    q = 1 / (1 + math.exp(-model.start))
+    best = {}
+    for name in "ab":
+        for cut in range(max(x[name] for x, _, _ in cells)):
+            sides = [[(p - c * q, c * q * (1 - q)) for x, c, p in cells if (x[name] <= cut) == low] for low in (True, False)]
+            best[name, cut] = sum(sum(g for g, _ in s) ** 2 / (sum(h for _, h in s) + 1) for s in sides)
+    assert model.trees[0][:2] == max(best, key=best.get) and model.start == pytest.approx(math.log((y + 0.5) / (n - y + 0.5)))
+    precise = {pii._calibrated([(3.0, 10, 9), (2.0, 10, 4), (1.0, 10, 6), (0.0, 10, 1)]), pii._calibrated([(3.0, 10, 9), (1.5, 20, 10), (0.0, 10, 1)])}
+    assert all(0 < x < 1.5 for x in precise)  # 4 and 6 of 10 are pooled to a half
+    assert pii._calibrated([(1.0, 10, 1)]) == math.inf
+
+
+# op2 by hand -----------------------------------------------------------------------------------------------------
+
+
+def test_ordinal_fit_is_a_minimum():
+    """No small step of a weight or threshold lowers the penalised loss of the cumulative-link model."""
+    rng = np.random.default_rng(15)
+    n = 6
+    rows = [np.flatnonzero(rng.random(n) < 0.4) for _ in range(300)]
+    truth = np.linspace(-1, 2, n)
+    grade = np.array([sum(truth[r].sum() + rng.logistic() > t for t in (0.5, 1.5, 2.5)) for r in rows])
+    weights, theta = toxicity._fit_ordinal(rows, grade, n, steps=3000)
+
+    def loss(w, t):
+        total = 0.0
+        for r, g in zip(rows, grade, strict=True):
+            q = [1.0, *(1 / (1 + math.exp(x - w[r].sum())) for x in t), 0.0]
+            total -= math.log(q[g] - q[g + 1])
+        return total / len(rows) + 0.5e-4 * (w * w).sum()
+
+    assert (np.diff(theta) > 0).all()
+    here = loss(weights, theta)
+    for k in range(n + 3):
+        for step in (-0.02, 0.02):
+            w, t = weights.copy(), theta.copy()
+            (w if k < n else t)[k if k < n else k - n] += step
+            assert loss(w, t) > here - 1e-6
+
+
+def test_severity_is_the_expected_grade(spark):
+    """Severity by hand: sum of the probabilities of reaching each grade, of the weights of a text's distinct features."""
+    ids = np.sort(toxicity.Features(near_dedup.pa.array(["bad worse"])).ids)
+    model = toxicity.Model(ids, np.linspace(0.5, 2.0, len(ids)), np.array([0.0, 1.0, 2.5]), 0.6)
+    texts = ["bad", "bad worse", "fine", "", "bad bad bad bad"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in toxicity.severity(rows, model).collect()}
+    for k, text in enumerate(texts):
+        mine = set(toxicity.Features(near_dedup.pa.array([text])).ids.tolist())
+        x = sum(w for i, w in zip(ids.tolist(), model.weights, strict=True) if i in mine)
+        p = [1 / (1 + math.exp(t - x)) for t in model.theta]
+        assert out[k]["severity"] == pytest.approx(sum(p)) and out[k]["p_toxic"] == pytest.approx(p[0]) and out[k]["toxic"] == (p[0] >= 0.6)
+
+
+# op9 recall, op5 shared ids --------------------------------------------------------------------------------------
+
+
+def test_near_copies_at_the_threshold_are_found(spark):
+    """Planted pairs of a similarity of 0.8 to 0.9: nearly all are linked, and no pair below 0.8."""
+    rng = np.random.default_rng(16)
+    docs, want = [], []
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 204)]
+        other = list(words)
+        for at in sorted(rng.choice(np.arange(5, 199, 6), int(rng.integers(1, 6)), replace=False)):
+            other[at] = f"n{k}x{at}"
+        x, y = shingles(" ".join(words)), shingles(" ".join(other))
+        want.append(len(x & y) / len(x | y) >= 0.8)
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    out = dict(near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    got = [out[2 * k] == out[2 * k + 1] for k in range(300)]
+    assert sum(w for w in want) > 150 and sum(g and w for g, w in zip(got, want, strict=True)) >= 0.99 * sum(want)
+    assert not any(g and not w for g, w in zip(got, want, strict=True))
+
+
+def test_substrings_of_shared_and_missing_ids(spark):
+    """Rows without an id, of one id and repeated as a whole: in the operator's fixed order each window stays once."""
+    text = lambda s, n: " ".join(f"{s}{k}" for k in range(n))
+    rows = [(None, text("a", 30)), (None, text("b", 10)), (None, text("a", 30)), (None, text("a", 30)), (7, text("c", 25)), (7, text("d", 25)), (7, text("c", 25)), (8, text("d", 25) + " " + text("a", 30)), (None, "x"), (None, "x"), (None, None)]
+    out = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out)
+    assert got == collections.Counter({(None, 30, 0, text("a", 30)): 1, (None, 30, 30, ""): 2, (None, 10, 0, text("b", 10)): 1, (7, 25, 0, text("c", 25)): 1, (7, 25, 25, ""): 1, (7, 25, 0, text("d", 25)): 1, (8, 55, 55, ""): 1, (None, 1, 0, "x"): 2, (None, 0, 0, ""): 1})
+
+
+def test_lm_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    training = F.col("doc_id") % 3 != 0
+    one = dict(lm_scoring.score(docs.coalesce(1), training).select("doc_id", "score").collect())
+    many = dict(lm_scoring.score(docs.repartition(7), training).select("doc_id", "score").collect())
+    assert one.keys() == many.keys() and all(one[k] == pytest.approx(many[k], rel=1e-4) for k in one)
+
+
+def test_lm_learns_from_every_token(spark):
+    """Each unit of each training document is a target exactly once, whatever the length."""
+    units = [np.arange(n, dtype=np.int16) + 1 for n in (1, 5, lm_scoring.SPAN, lm_scoring.SPAN + 1, 3 * lm_scoring.SPAN + 7)]
+    batch = near_dedup.pa.record_batch([near_dedup.pa.array(range(5), near_dedup.pa.int64()), near_dedup.pa.array([x.tobytes() for x in units])], names=["mark", "units"])
+    (out,) = lm_scoring._spans([batch])
+    spans = [np.frombuffer(x, np.int16) for x in out.column("span").to_pylist()]
+    assert collections.Counter(x for s in spans for x in s[1:].tolist()) == collections.Counter(x for u in units for x in u.tolist())
+    lanes = lm_scoring._Lanes(spans)
+    assert lanes.tokens == sum(map(len, units)) == lanes.live.sum() and lanes.fresh.sum() == len(spans)
+    assert sorted(lanes.targets[lanes.live].tolist()) == sorted(x for u in units for x in u.tolist())
