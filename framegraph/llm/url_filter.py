@@ -156,10 +156,11 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     labelled = F.col("action").isNotNull().cast("long")
     shapes = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(labelled).alias("labelled"), F.sum((F.col("action") == "block").cast("long")).alias("blocked"))
     shapes = materialize(shapes.fillna(0, ["blocked"]))
-    tree = templates(shapes)
-    # the same tree over all hosts together gives the templates that hosts share
-    pooled = shapes.groupBy(F.lit("").alias("host"), "shape").agg(*(F.sum(c).alias(c) for c in _COUNTS))
-    common = templates(pooled).select("shape", F.col("template").alias("common"))
+    # the same tree over all hosts together, grown beside the hosts' own, gives the templates that hosts share
+    pooled = shapes.groupBy("shape").agg(*(F.sum(c).alias(c) for c in _COUNTS)).select(F.lit("all").alias("host"), "shape", *_COUNTS)
+    grown = templates(shapes.withColumn("host", F.concat(F.lit("="), "host")).unionByName(pooled))
+    common = grown.where("host = 'all'").select("shape", F.col("template").alias("common"))
+    tree = grown.where("host != 'all'").withColumn("host", F.expr("substring(host, 2)"))
     tree = materialize(tree.join(common, "shape"))
     domain = F.array_join(F.slice(F.concat(F.array(F.lit("")), F.split("host", r"\.")), F.lit(-2), F.lit(2)), ".")
     by = materialize(tree.groupBy("host", domain.alias("domain"), "template", "common").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")))
