@@ -41,6 +41,8 @@ KNOWN = 400_000
 EMBED, HIDDEN = 24, 32
 #: Tokens of a gradient window and of a training span at most, spans side by side at most, and tokens of a shard.
 BPTT, SPAN, LANES, SHARD_TOKENS = 24, 1024, 512, 2_000_000
+#: Tasks that shards are dealt to, at most.
+TASKS = 10_000
 #: Learning rates of the turns, each of which takes its share of the spans; models that are averaged at a time.
 RATES, FAN_IN = (0.01, 0.004), 64
 #: Fewest gradient steps of a shard: a small table has fewer lanes, or is gone through again.
@@ -414,7 +416,9 @@ def train(encoded: DataFrame, v: Vocabulary, tokens: int) -> dict:
     weights = initial(v)
     for turn, rate in enumerate(RATES):
         schema, learn = "shard long, tokens long, weights binary", _learn(shared, spark.sparkContext.broadcast(_pack(weights)), rate)
-        means, left = spans.where(F.col("turn") == turn).groupBy("shard").applyInPandas(learn, schema), shards
+        # a shard is few bytes and much work: dealt to tasks of its own, which adaptive execution does not put together
+        dealt = spans.where(F.col("turn") == turn).repartition(min(2 * shards, TASKS), "shard")
+        means, left = dealt.groupBy("shard").applyInPandas(learn, schema), shards
         while left > FAN_IN:
             means, left = means.groupBy(F.expr(f"shard div {FAN_IN}")).applyInPandas(_average, schema), -(-left // FAN_IN)
         means = means.toPandas()  # at most FAN_IN models
