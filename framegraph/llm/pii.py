@@ -65,20 +65,31 @@ def _sums_before(steps: Column) -> Column:
     return F.when(F.size(steps) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def _spans(text: Column, pattern: str, gate: Column) -> Column:
-    """array<struct<s,e,m,before,after>> of leftmost non-overlapping matches, in code points, without a look at ungated texts."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:bigint,e:bigint,m:string,before:string,after:string>>")
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    starts = _sums_before(F.transform(pairs, lambda x: (F.length(x["p"]) + F.length(x["m"])).cast("bigint")))
-    nexts = F.transform(F.slice(pieces, F.lit(2), F.size(found)), lambda p: F.substring(p, 1, 1))
-    around = F.zip_with(starts, nexts, lambda at, n: F.struct(at.alias("at"), n.alias("n")))
+def _spans(rows: DataFrame, patterns: dict[str, str], gates: dict[str, Column]) -> DataFrame:
+    """rows (doc_id, text) with an array<struct<s,e,m,before,after>> of leftmost non-overlapping matches for each pattern,
+    in code points, in place of the text; ungated texts are not looked at.
 
-    def hit(x, y):
-        s = y["at"] + F.length(x["p"])
-        return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(32)).alias("before"), y["n"].alias("after"))
+    In steps of their own, so that each pattern runs once over a text and each array is made once.
+    """
+    cut = F.array().cast("array<string>")
+    pieces = {k: F.when(gates[k], F.split("text", p, -1)).otherwise(cut) for k, p in patterns.items()}
+    found = {k: F.when(gates[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(cut) for k, p in patterns.items()}
+    rows = rows.select("doc_id", *(v.alias("p_" + k) for k, v in pieces.items()), *(v.alias("m_" + k) for k, v in found.items()))
+    steps = lambda k: F.zip_with(F.slice("p_" + k, F.lit(1), F.size("m_" + k)), "m_" + k, lambda p, m: (F.length(p) + F.length(m)).cast("bigint"))
+    rows = rows.select("*", *(steps(k).alias("n_" + k) for k in patterns))
+    rows = rows.select("*", *(_sums_before(F.col("n_" + k)).alias("a_" + k) for k in patterns))
+
+    def spans(k: str) -> Column:
+        around = F.zip_with("a_" + k, F.slice("p_" + k, F.lit(2), F.size("m_" + k)), lambda at, n: F.struct(at.alias("at"), F.substring(n, 1, 1).alias("n")))
+        pairs = F.zip_with(F.slice("p_" + k, F.lit(1), F.size("m_" + k)), "m_" + k, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+
+        def hit(x, y):
+            s = y["at"] + F.length(x["p"])
+            return F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(32)).alias("before"), y["n"].alias("after"))
+
+        return F.zip_with(pairs, around, hit)
 
-    return F.when(gate, F.zip_with(pairs, around, hit)).otherwise(empty)
+    return rows.select("doc_id", *(spans(k).alias(k) for k in patterns))
 
 
 def _digits(m: Column) -> Column:
@@ -133,10 +144,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     numeric = text.rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "ip": numeric, "card": numeric, "phone": F.contains(text, F.lit("+")), "address": F.contains(text, F.lit("@")) | text.rlike(r"[(\[]at[)\]]"), "number": numeric, "dotted": numeric | F.contains(text, F.lit("::")), "token": text.rlike(WIDE["token"])}
-    plain = {k: _spans(text, p, gates[k]) for k, p in (BASE | WIDE).items()}
+    found = _spans(rows, BASE | WIDE, gates)
     at, dot = r"\x20?[(\[]at[)\]]\x20?", r"\x20?[(\[]dot[)\]]\x20?"
-    plain["address"] = F.transform(plain["address"], lambda c: c.withField("m", F.regexp_replace(F.regexp_replace(c["m"], at, "@"), dot, ".")))
-    found = rows.select("doc_id", *(v.alias(k) for k, v in plain.items()))
+    found = found.withColumn("address", F.transform("address", lambda c: c.withField("m", F.regexp_replace(F.regexp_replace(c["m"], at, "@"), dot, "."))))
 
     def valid_spans(kind: str) -> Column:
         kept = F.filter(F.col(kind), lambda x: _valid(kind, x["m"]))
